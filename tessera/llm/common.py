@@ -16,26 +16,25 @@ SPACE = b" \t\n\x0b\x0c\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8_000_000) -> Iterator[pa.Table]:
-    """Runs of consecutive rows whose text has at most `most` bytes, or one row; rows are never cut."""
-    held, size = [], 0
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8_000_000, rows: int = 65_536) -> Iterator[pa.Table]:
+    """Runs of at most `rows` consecutive rows whose text has at most `most` bytes, or of one row; rows are never cut."""
+    held, size, count = [], 0, 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
         lengths = byte_lengths(batch.column(text))
         start = 0
         while start < batch.num_rows:
             reach = np.cumsum(lengths[start:])
-            n = int(np.searchsorted(reach, most - size, side="right"))
+            n = min(int(np.searchsorted(reach, most - size, side="right")), rows - count)
             if n == 0 and not held:
                 n = 1
             if n:
                 held.append(batch.slice(start, n))
                 size += int(reach[n - 1])
+                count += n
                 start += n
             if start < batch.num_rows:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, count = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -52,7 +51,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         a = np.ascontiguousarray(a)
         planes = a.view(np.uint8).reshape(-1, a.itemsize).T if a.size else np.zeros(0, np.uint8)
-        blob = zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+        blob = zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
         head.append([a.dtype.str, int(a.size), len(blob)])
         body.append(blob)
     top = json.dumps(head).encode()
@@ -101,3 +100,19 @@ def remainder(column, n: int):
     from pyspark.sql import functions as F
 
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def drawn(docs, among, rows: int, seed: int) -> list[str]:
+    """Texts of at most `rows` rows of docs whose doc_id is among those of `among` with the least hashes.
+
+    Ids are chosen first, so no text is moved but those drawn.
+    """
+    from pyspark.sql import functions as F
+
+    order = F.xxhash64("doc_id", F.lit(seed))
+    ids = [r[0] for r in among.filter("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(rows).collect()]
+    if not ids:
+        return []
+    own = docs.select("doc_id", "text").filter(F.col("doc_id").isin(ids)).collect()
+    place = {d: k for k, d in enumerate(ids)}
+    return [r["text"] or "" for r in sorted(own, key=lambda r: (place[r["doc_id"]], r["text"] or ""))][:rows]
