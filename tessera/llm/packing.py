@@ -13,29 +13,32 @@ from pyspark.sql import functions as F
 
 from .wordtable import Block, chunks, resolved
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long, alone long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def pieces(docs: DataFrame, path: str, most: int = 1024, end: int = 2) -> DataFrame:
     """Pieces of at most `most` ids of every row's text with `end` after it; only a document's first piece may be shorter.
 
-    A null text is an empty one and gives the end alone. uid tells rows with equal doc_id apart.
+    A null text is an empty one and gives the end alone. uid tells rows with equal doc_id apart; alone is
+    the number of the sequence that a piece of `most` ids fills by itself.
     """
 
     def join(table: pa.Table) -> pa.Table:
         block = Block(table)
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], []]
+        full = 0
         for k in range(len(block.doc_ids)):
             ids = np.append(block.ids(int(block.offsets[k]), int(block.offsets[k + 1])), end).astype("<u4")
             first = len(ids) % most or most
             start = 0
             for piece, stop in enumerate(range(first, len(ids) + 1, most)):
-                for column, value in zip(out, (int(block.doc_ids[k]) if block.known[k] else None, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes()), (block.block << 24) + k), strict=True):
+                for column, value in zip(out, (int(block.doc_ids[k]) if block.known[k] else None, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes()), (block.block << 24) + k, -1 - (block.block << 24) - full if stop - start == most else None), strict=True):
                     column.append(value)
+                full += stop - start == most
                 start = stop
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "piece", "start", "length", "ids_crc32", "uid"), out, kinds, strict=True)})
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "piece", "start", "length", "ids_crc32", "uid", "alone"), out, kinds, strict=True)})
 
     return resolved(docs, chunks, path).groupBy("block").applyInArrow(join, PIECES)
 
@@ -64,12 +67,12 @@ def pack(items: DataFrame, most: int = 1024, group: int = 4096, rounds: int = 4,
 
         return run
 
-    shape = PIECES + ", sequence_id long, offset long"
+    shape = PIECES.removesuffix(", alone long") + ", sequence_id long, offset long"
     dealt = lambda df, n, salt: df.withColumn("group", F.pmod(F.xxhash64("uid", "piece", F.lit(salt)), F.lit(n)))
     full = items.filter(F.col("length") >= most)
-    rest = items.filter(F.col("length") < most)
+    rest = items.filter(F.col("length") < most).drop("alone")
     first = dealt(rest, spread, 0).groupBy("group").applyInArrow(settle(0, spread == 1), shape)
-    whole = full.withColumn("sequence_id", F.bitwise_not(F.col("uid")) * 4096 - F.col("piece")).withColumn("offset", F.lit(0).cast("long"))
+    whole = full.withColumn("sequence_id", F.col("alone")).withColumn("offset", F.lit(0).cast("long"))
     if spread == 1:
         return whole.select(*_columns()).unionByName(first.select(*_columns()))
     from ..session import cut

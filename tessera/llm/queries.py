@@ -18,12 +18,39 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.score(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    from .common import remainder
+
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.tag(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -40,8 +67,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_scoring, op3_bpe, op4_toxicity, op5_html, op7_licenses, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import licenses
+
+    return {"op7_licenses": licenses.duckdb()}

@@ -118,7 +118,7 @@ def lower_words(texts: list[str]) -> tuple[np.ndarray, pa.StringArray, np.ndarra
     return encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.cast(pa.string()), np.concatenate([[0], np.cumsum(counts)])
 
 
-def deal(docs: DataFrame, split: Callable, buckets: int, weight: str | None = None, block_bytes: int = 8_000_000) -> DataFrame:
+def deal(docs: DataFrame, split: Callable, buckets: int, weight: str | None = None, block_bytes: int = 16_000_000) -> DataFrame:
     """Blocks of documents (doc_id, text and, with weight, a boolean column) as rows for buckets and for themselves.
 
     kind 0: words of a block for a bucket; kind 1: a block's documents.
@@ -127,7 +127,7 @@ def deal(docs: DataFrame, split: Callable, buckets: int, weight: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = (TaskContext.get().partitionId() << 24) - 1
+        block = (TaskContext.get().partitionId() << 18) - 1
         for table in slices(batches, "text", block_bytes):
             block += 1
             ids, known = column_ids(table, "doc_id")
@@ -135,32 +135,52 @@ def deal(docs: DataFrame, split: Callable, buckets: int, weight: str | None = No
             n = len(words)
             marks = table.column(weight).to_numpy().astype(bool) if weight else np.ones(len(ids), bool)
             counts = np.bincount(codes, minlength=n)
-            trained = np.bincount(codes[np.repeat(marks, np.diff(offsets))], minlength=n) if weight else counts
-            rank = np.empty(n, np.int64)
-            rank[np.argsort(-counts, kind="stable")] = np.arange(n)
+            trained = np.bincount(codes[np.repeat(marks, np.diff(offsets))], minlength=n) if weight else np.zeros(0, np.int64)
+            # slots: the most frequent first, then by first use; words used once need no number in the sequence
+            first = np.empty(n, np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            by_slot = np.lexsort((first, -counts))
+            slot = np.empty(n, np.int64)
+            slot[by_slot] = np.arange(n)
+            several = int((counts > 1).sum())
             raw = words.cast(pa.binary()).to_pylist()
-            bucket = np.fromiter((zlib.crc32(x) % buckets for x in raw), np.int64, n)
+            bucket = np.fromiter((zlib.crc32(raw[i]) % buckets for i in by_slot.tolist()), np.int64, n)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             parts, payloads = [], []
             for b in range(buckets):
-                if (own := order[edges[b] : edges[b + 1]]).size:
-                    text = b"".join(mine := [raw[i] for i in own])
+                if (slots := order[edges[b] : edges[b + 1]]).size:
+                    own = by_slot[slots]
+                    text = b"".join(mine := [raw[i] for i in own.tolist()])
                     sizes = np.fromiter(map(len, mine), np.uint32, own.size)
                     parts.append(b)
-                    payloads.append(pack(rank[own].astype(np.uint32), trained[own].astype(np.uint32), sizes, np.frombuffer(text, np.uint8)))
+                    payloads.append(pack(np.diff(slots, prepend=0).astype(np.uint32), trained[own].astype(np.uint32) if weight else np.zeros(0, np.uint32), sizes, np.frombuffer(text, np.uint8)))
             kinds = [0] * len(parts) + [1]
             parts.append(block % buckets)
-            payloads.append(pack(ids, known.astype(np.uint8), marks.astype(np.uint8), offsets.astype(np.uint32), rank[codes].astype(np.uint32)))
+            payloads.append(pack(ids, known.astype(np.uint8), marks.astype(np.uint8), offsets.astype(np.uint32), np.array([several], np.uint32), *halves(np.minimum(slot[codes], several))))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(kinds, pa.int32()), pa.array(payloads, pa.binary())], ["part", "block", "kind", "payload"])
 
     return docs.mapInArrow(run, ROWS).repartition(buckets, "part")
 
 
-def answer(rows: DataFrame, path: str | None, counted: bool) -> DataFrame:
+def halves(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers as high parts, low bytes of those under 256 and of the others, which compress apart."""
+    high, low = (codes >> 8).astype(np.uint32), (codes & 255).astype(np.uint8)
+    return high, low[high == 0], low[high > 0]
+
+
+def whole(high: np.ndarray, small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    low = np.empty(len(high), np.uint32)
+    low[high == 0], low[high > 0] = small, large
+    return (high << np.uint32(8)) | low
+
+
+def answer(rows: DataFrame, path: str | None, counted: bool, before: str = "") -> DataFrame:
     """Resolves each distinct word once: ids of the encoder at path, and with counted its weight over all blocks.
 
-    Rows keep their shape; with counted, kind 2 has a partition's sums: words with weight, their weight.
+    before stands before each word when it is encoded. Rows keep their shape; with counted, kind 2 has a
+    partition's sums: words with weight, their weight, the weight of each id, and the weight and number of
+    such words by first id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +200,11 @@ def answer(rows: DataFrame, path: str | None, counted: bool) -> DataFrame:
                 if (k := number.get(word)) is None:
                     k = number[word] = len(number)
                     if encode:
-                        ids.append(np.array(encode(word.decode()), np.uint16))
+                        ids.append(np.array(encode(before + word.decode()), np.uint16))
                 mine.append(k)
             if len(number) > len(totals):
                 totals = np.concatenate([totals, np.zeros(len(number), np.int64)])
-            return slots, weights, np.array(mine, np.int64)
+            return slots, weights, np.array(mine, np.int64)  # slots as gaps, which a reply repeats
 
         def reply(slots: np.ndarray, mine: np.ndarray) -> bytes:
             own = [ids[k] for k in mine.tolist()] if encode else []
@@ -197,7 +217,7 @@ def answer(rows: DataFrame, path: str | None, counted: bool) -> DataFrame:
                 if kind == 0:
                     slots, weights, mine = words(payload)
                     if counted:
-                        np.add.at(totals, mine, weights)
+                        totals[mine] += weights  # a block's words are distinct
                         held.append((part, block, pack(slots, mine.astype(np.uint32))))
                         continue
                     payload = reply(slots, mine)
@@ -208,7 +228,13 @@ def answer(rows: DataFrame, path: str | None, counted: bool) -> DataFrame:
             slots, mine = unpack(packed)
             yield _rows([[part], [block], [0], [reply(slots, mine.astype(np.int64))]])
         if counted:
-            yield _rows([[0], [-1], [2], [pack(np.array([(totals > 0).sum(), totals.sum()], np.int64))]])
+            own = totals[: len(number)]
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
+            each = np.repeat(own, [len(x) for x in ids]) if ids else np.zeros(0)
+            by_id = np.bincount(flat, each).astype(np.int64)
+            first = np.array([x[0] for x in ids], np.int64) if ids else np.zeros(0, np.int64)
+            by_first = [np.bincount(first, x).astype(np.int64) for x in ((own, own > 0) if ids else ([], []))]
+            yield _rows([[0], [-1], [2], [pack(np.array([(own > 0).sum(), own.sum()], np.int64), by_id, *by_first)]])
 
     return rows.mapInArrow(run, ROWS)
 
@@ -225,14 +251,17 @@ class Block:
         replies = []
         for kind, payload in zip(kinds, payloads, strict=True):
             if kind == 1:
-                self.doc_ids, known, marks, offsets, self.codes = unpack(payload)
+                self.doc_ids, known, marks, offsets, several, *parts = unpack(payload)
+                self.codes = whole(*parts)
+                once = self.codes == several[0]
+                self.codes[once] = several[0] + np.arange(once.sum(), dtype=np.uint32)
                 self.known, self.marks = known.astype(bool), marks.astype(bool)
                 self.offsets = offsets.astype(np.int64)
             else:
                 replies.append(unpack(payload))
         self.block = table.column("block")[0].as_py()
         n = sum(len(r[0]) for r in replies)
-        slots = np.concatenate([r[0] for r in replies]) if replies else np.zeros(0, np.uint32)
+        slots = np.concatenate([np.cumsum(r[0], dtype=np.int64) for r in replies]) if replies else np.zeros(0, np.uint32)
         place = np.argsort(slots, kind="stable")
         if not np.array_equal(slots[place], np.arange(n)):
             raise ValueError("a block's words are not answered once each")
@@ -254,8 +283,8 @@ class Block:
         return self.flat[np.repeat(shift, sizes) + np.arange(total)]
 
 
-def resolved(docs: DataFrame, split: Callable, path: str | None, counted: bool = False, weight: str | None = None) -> DataFrame:
-    """deal() and answer() with as many buckets as the session has shuffle partitions."""
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def resolved(docs: DataFrame, split: Callable, path: str | None, counted: bool = False, weight: str | None = None, before: str = "") -> DataFrame:
+    """deal() and answer() with half as many buckets as the session has shuffle partitions."""
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
     wanted = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")] + ([F.col(weight)] if weight else [])
-    return answer(deal(docs.select(*wanted), split, buckets, weight), path, counted)
+    return answer(deal(docs.select(*wanted), split, buckets, weight), path, counted, before)
