@@ -24,6 +24,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -67,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_bpe, op4_toxicity, op5_html, op7_licenses, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard, op3_bpe, op4_toxicity, op5_html, op7_licenses, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
