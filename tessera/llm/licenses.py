@@ -94,9 +94,9 @@ def duckdb(sentences: list = SENTENCES, rules: list = RULES) -> str:
     return f"""
 WITH known AS (SELECT DISTINCT sentence_id, {norm('said')} AS norm FROM (VALUES {values}) t(sentence_id, said)),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-parts AS (SELECT r, list_filter(string_split_regex(text, {quote(GAP)}), s -> length(s) <= {longest} AND regexp_matches(lower(s), 'licen|public domain|redistribut|warrant|permission|rights reserved')) AS p FROM d),
+parts AS (SELECT r, list_filter(string_split_regex(text, {quote(GAP)}), lambda s: length(s) <= {longest} AND regexp_matches(lower(s), 'licen|public domain|redistribut|warrant|permission|rights reserved')) AS p FROM d),
 e AS (SELECT r, unnest(p) AS s, generate_subscripts(p, 1) AS pos FROM parts),
 f AS (SELECT r, string_agg(sentence_id, '|' ORDER BY pos) AS ids, count(*) AS n FROM e JOIN known ON {norm('s')} = norm GROUP BY r)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(replace(ids, '|', ','), '') AS sentence_ids,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter([{cases}], x -> x IS NOT NULL))), ','), '') AS licences
+  coalesce(array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL))), ','), '') AS licences
 FROM d LEFT JOIN f USING (r)"""
