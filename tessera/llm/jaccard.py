@@ -94,7 +94,10 @@ def paths(tokens: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def walk(docs: DataFrame, trees: int) -> DataFrame:
-    """(doc_id, node, second, fourth) of every row; node is a hash of the shingle set, null for a text without words."""
+    """(doc_id, row, node, second, fourth) of every row; node is a hash of the shingle set, null for a text without words.
+
+    row is a column of docs, or null where docs has none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches, "text"):
@@ -110,10 +113,9 @@ def walk(docs: DataFrame, trees: int) -> DataFrame:
             for part in both:
                 edges = np.concatenate([[0], np.cumsum(some * part.shape[1])]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(part.view(np.int64).ravel())))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(nodes, mask=~some), *lists], ["doc_id", "node", "second", "fourth"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), table.column("row").combine_chunks(), pa.array(nodes, mask=~some), *lists], ["doc_id", "row", "node", "second", "fourth"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, node long, second array<long>, fourth array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, node long, second array<long>, fourth array<long>")
 
 
 def meetings(sets: DataFrame) -> DataFrame:
@@ -177,7 +179,24 @@ def join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999, block
     its class is its own doc_id. Repeated rows are copies; other columns are ignored. A row whose doc_id is
     null belongs to its class; a class of such rows only has a null id.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _classes(docs, similarity, recall, block).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def first_of_each(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999, block: int = 512) -> DataFrame:
+    """One row of each class of join(), with all its columns: that with the least doc_id (null last), of equal ones the first.
+
+    Rows without words are all kept. docs is read twice and must give its rows in the same partitions, as files do.
+    """
+    marked = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = _classes(marked, similarity, recall, block)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    best = found.filter("label is not null").groupBy("label").agg(F.min(order).alias("best")).select(F.col("best._row").alias("_row"))
+    kept = best.unionByName(found.filter("label is null").select("_row"))
+    return marked.join(kept, "_row", "left_semi").drop("_row")
+
+
+def _classes(docs: DataFrame, similarity: float, recall: float, block: int) -> DataFrame:
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col("_row") if "_row" in docs.columns else F.lit(None)).cast("long").alias("row"))
     walked = cut(walk(own, trees_for(similarity, recall)))
     worded = walked.filter("node is not null")
     sets = cut(worded.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("second").alias("second"), F.first("fourth").alias("fourth")))
@@ -218,7 +237,7 @@ def join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999, block
     final = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = sets.select("node", "least", "n").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = classes.groupBy("label").agg(F.min("least").alias("class_id"))
-    known = classes.join(named, "label").join(links, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
-    found = worded.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links", "n_copies")
-    empty = walked.filter("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
+    known = classes.join(named, "label").join(links, "node", "left").select("node", "label", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
+    found = worded.select("doc_id", F.col("row").alias("_row"), "node").join(known, "node").select("doc_id", "_row", "label", "class_id", "n_links", "n_copies")
+    empty = walked.filter("node is null").select("doc_id", F.col("row").alias("_row"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
     return found.unionByName(empty)

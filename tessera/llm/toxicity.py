@@ -182,6 +182,34 @@ def summaries(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+class Scorer:
+    """The model over batches of texts; keeps what it has worked out of words."""
+
+    def __init__(self, model: dict) -> None:
+        self.weights, self.bias, self.trans, self.scale = model["weights"], model.get("bias", 0.0), model["trans"], np.array(model["scale"])
+        self.seen: dict[str, float] = {}
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score of each text, P(toxic) of each word, bounds of the texts' words)."""
+        flat: list[str] = []
+        lengths = np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            words = text.split()
+            lengths[k] = len(words)
+            flat += words
+        p = np.zeros(0)
+        if flat:
+            codes, shown = pd.factorize(pd.array(flat, dtype=pd.ArrowDtype(pa.string())))
+            shown = list(shown)
+            new = [w for w in shown if w not in self.seen]
+            self.seen.update(zip(new, (self.weights[indices(new)].sum(1) + self.bias).tolist(), strict=True))
+            p = long_chain(np.array([self.seen[w] for w in shown])[codes], lengths, self.trans)
+            if len(self.seen) > 400_000:
+                self.seen.clear()
+        scores = 1 / (1 + np.exp(-np.clip(summaries(p, lengths) @ self.scale[:2] + self.scale[2], -30, 30)))
+        return scores, p, np.concatenate([[0], np.cumsum(lengths)])
+
+
 def tag(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
     """(doc_id, score, spans) of every row's whole text: spans are code point offsets of runs of words with P(toxic) >= at_least.
 
@@ -191,30 +219,11 @@ def tag(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
     schema = "doc_id long, score double, spans array<struct<start:int,stop:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bound.value
-        weights, bias, trans, scale = own["weights"], own.get("bias", 0.0), own["trans"], np.array(own["scale"])
-        cache: dict[str, float] = {}
+        score = Scorer(bound.value)
         for table in slices(batches, "text"):
             ids, known = column_ids(table, "doc_id")
             texts = [x or "" for x in table.column("text").to_pylist()]
-            flat: list[str] = []
-            lengths = np.zeros(len(texts), np.int64)
-            for k, text in enumerate(texts):
-                words = text.split()
-                lengths[k] = len(words)
-                flat += words
-            if flat:
-                codes, shown = pd.factorize(pd.array(flat, dtype=pd.ArrowDtype(pa.string())))
-                shown = list(shown)
-                new = [w for w in shown if w not in cache]
-                cache.update(zip(new, (weights[indices(new)].sum(1) + bias).tolist(), strict=True))
-                p = long_chain(np.array([cache[w] for w in shown])[codes], lengths, trans)
-                if len(cache) > 400_000:
-                    cache.clear()
-            else:
-                p = np.zeros(0)
-            reach = np.concatenate([[0], np.cumsum(lengths)])
-            scores = 1 / (1 + np.exp(-np.clip(summaries(p, lengths) @ scale[:2] + scale[2], -30, 30)))
+            scores, p, reach = score(texts)
             spans = []
             for k, text in enumerate(texts):
                 mine = p[reach[k] : reach[k + 1]]
@@ -224,6 +233,18 @@ def tag(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, model: dict, below: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under `below`; no row is moved."""
+    bound = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(bound.value)
+        for table in slices(batches, "text"):
+            yield from table.filter(pa.array(score([x or "" for x in table.column("text").to_pylist()])[0] < below)).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _spans(text: str, toxic: np.ndarray) -> list[dict]:
     out: list[dict] = []
     at, last = 0, -2
