@@ -119,7 +119,7 @@ def train(texts: list[list[str]], marks: list[int], seed: int = 3) -> dict:
     uses = Counter(p for word, _ in pairs for p in _parts(word)[:3])
     share = marks.count(1) / max(1, marks.count(0))
     least = max(4, 0.01 * marks.count(1))
-    toxic = {p for p, n in seen[1].items() if min(n, uses[p]) >= least and n >= 20 * share * seen[0][p]}
+    toxic = {p for p, n in seen[1].items() if uses[p] >= least and n >= max(2, least / 2) and n >= 20 * share * seen[0][p]}
     number: dict[str, int] = {}
     codes = [np.array([number.setdefault(w, len(number)) for w in words]) for words in texts]
     shown = list(number)
