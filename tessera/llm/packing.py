@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, path: str, most: int = 1024, end: int = 2) -> DataFr
     return resolved(docs, chunks, path).groupBy("block").applyInArrow(join, PIECES)
 
 
-def pack(items: DataFrame, most: int = 1024, group: int = 4096, rounds: int = 4, spread: int | None = None) -> DataFrame:
+def pack(items: DataFrame, most: int = 1024, group: int = 16_384, rounds: int = 4, spread: int | None = None) -> DataFrame:
     """Puts each piece into one sequence of at most `most` tokens: sequence_id, and offset in it without gaps.
 
     Groups of about `group` pieces, dealt by a hash, are packed each in one task, which wastes less than a
