@@ -251,7 +251,7 @@ def test_urls(spark):
     link = lambda h: f'<a class="x" href="https://{h}/p">t</a>'
     rows = [
         (1, "http://A.Example.com/en/x?q#f", ""), (2, "https://www.example.com/en/", ""), (3, "https://b.com", ""), (4, "no", ""), (5, None, None),
-        (6, "https://spam.net/fr/1", ""), (7, "https://friend.org/x", link("spam.net")), (8, "https://calm.org/x", link("b.com")), (9, "https://notexample.com/en/x", ""), (10, "https://spam.net/de/", ""), (11, "https://b.com/x", link("trusted.org")), (12, "https://trusted.org/", ""),
+        (6, "https://spam.net/fr/1", ""), (7, "https://friend.org/x", link("evil.net")), (13, "https://evil.net/fr/2", ""), (8, "https://calm.org/x", link("b.com")), (9, "https://notexample.com/en/x", ""), (10, "https://spam.net/de/", ""), (11, "https://b.com/x", link("trusted.org")), (12, "https://trusted.org/", ""),
     ]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == ("a.example.com", "/en/x", "example.com/en/", "block") and got[2][2:] == ("www.example.com/en/", "allow")
