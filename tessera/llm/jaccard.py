@@ -210,29 +210,37 @@ def _classes(docs: DataFrame, similarity: float, recall: float, block: int) -> D
     dealt = text.withColumn("spot", spot).select("node", "label", "spot", "text", F.explode(pairs).alias("pair")).select("node", "label", "spot", "text", "pair.lo", "pair.hi")
 
     def verify(part: pa.Table) -> pa.Table:
-        nodes, spots = part.column("node").to_numpy(), part.column("spot").to_numpy()
-        lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
+        nodes, spots, label, low, high = (part.column(n).to_numpy() for n in ("node", "spot", "label", "lo", "hi"))
         flat, bounds = shingles([x or "" for x in part.column("text").to_pylist()])
-        held: dict[int, tuple[np.ndarray, int]] = {}
-        for k, node in enumerate(nodes.tolist()):
-            own_set = flat[bounds[k] : bounds[k + 1]]
-            # a doc_id may stand on several rows: only the row with this set counts, once
-            if node not in held and len(own_set) and np.uint64(xxhash.xxh64_intdigest(own_set.tobytes())).view(np.int64) == node:
-                held[node] = (own_set, int(spots[k]))
-        keys = sorted(held)
-        left = [k for k in keys if held[k][1] == lo]
-        right = [k for k in keys if held[k][1] != lo] if lo != hi else []
-        ids = np.array(left + right, np.int64)
-        if (lo == hi and len(left) < 2) or (lo != hi and not (left and right)):
-            i = j = np.zeros(0, np.int64)
-        else:
+        order = np.lexsort((nodes, high, low, label))
+        change = np.zeros(len(order), bool)
+        change[:1] = True
+        for column in (label, low, high):
+            change[1:] |= column[order][1:] != column[order][:-1]
+        out: list[tuple] = []
+        for rows in np.split(order, np.flatnonzero(change)[1:]):
+            lo, hi = low[rows[0]], high[rows[0]]
+            held: dict[int, tuple[np.ndarray, int]] = {}
+            for k in rows.tolist():
+                node, own_set = int(nodes[k]), flat[bounds[k] : bounds[k + 1]]
+                # a doc_id may stand on several rows: only the row with this set counts, once
+                if node not in held and len(own_set) and np.uint64(xxhash.xxh64_intdigest(own_set.tobytes())).view(np.int64) == node:
+                    held[node] = (own_set, int(spots[k]))
+            left = [k for k in held if held[k][1] == lo]
+            right = [k for k in held if held[k][1] != lo] if lo != hi else []
+            if (lo == hi and len(left) < 2) or (lo != hi and not (left and right)):
+                continue
+            ids = np.array(left + right, np.int64)
             i, j = compare([held[k][0] for k in left], [held[k][0] for k in right] if lo != hi else None, similarity)
             j = j + len(left) if lo != hi else j
-        links = np.bincount(np.concatenate([i, j]), minlength=len(ids)).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-        root = roots(len(ids), i, j)
-        return pa.table({"node": pa.array(ids, pa.int64()), "root": pa.array(ids[root] if len(ids) else ids, pa.int64()), "links": pa.array(links, pa.int64())})
-
-    checked = cut(dealt.groupBy("label", "lo", "hi").applyInArrow(verify, "node long, root long, links long").filter("links > 0"))
+            out.append((ids, ids[roots(len(ids), i, j)], np.bincount(np.concatenate([i, j]), minlength=len(ids)).astype(np.int64)))
+        node, root, links = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3
+        return pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(root, pa.int64()), "links": pa.array(links, pa.int64())})
+
+    # small groups share a bin, so that a call has work; each pair of blocks of a large one has a bin of its own
+    bins = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    binned = dealt.withColumn("bin", F.when((F.col("lo") == 0) & (F.col("hi") == 0), F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.xxhash64("label", "lo", "hi")))
+    checked = cut(binned.groupBy("bin").applyInArrow(verify, "node long, root long, links long").filter("links > 0"))
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     final = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = sets.select("node", "least", "n").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
