@@ -234,7 +234,9 @@ def answer(rows: DataFrame, path: str | None, counted: bool, before: str = "") -
             by_id = np.bincount(flat, each).astype(np.int64)
             first = np.array([x[0] for x in ids], np.int64) if ids else np.zeros(0, np.int64)
             by_first = [np.bincount(first, x).astype(np.int64) for x in ((own, own > 0) if ids else ([], []))]
-            yield _rows([[0], [-1], [2], [pack(np.array([(own > 0).sum(), own.sum()], np.int64), by_id, *by_first)]])
+            from pyspark import TaskContext
+
+            yield _rows([[TaskContext.get().partitionId()], [-1], [2], [pack(np.array([(own > 0).sum(), own.sum()], np.int64), by_id, *by_first)]])
 
     return rows.mapInArrow(run, ROWS)
 
