@@ -24,7 +24,10 @@ from .common import column_ids, mix, slices
 from .graph import components
 
 TOKENS = 64
-SMALL = 64
+SMALL, LARGE = 64, 512
+#: Of TOKENS bytes of two sketches, so many agree at least where sets are tried: 51 are expected at a similarity of 0.8,
+#: with a deviation of 3.2.
+AGREE = 34
 
 
 def trees_for(similarity: float, recall: float) -> int:
@@ -94,7 +97,7 @@ def paths(tokens: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def walk(docs: DataFrame, trees: int) -> DataFrame:
-    """(doc_id, row, node, second, fourth) of every row; node is a hash of the shingle set, null for a text without words.
+    """(doc_id, row, node, second, fourth, sketch) of every row; node is a hash of the shingle set, null for a text without words.
 
     row is a column of docs, or null where docs has none.
     """
@@ -109,25 +112,55 @@ def walk(docs: DataFrame, trees: int) -> DataFrame:
             nodes[some] = [np.int64(np.uint64(xxhash.xxh64_intdigest(flat[a:b].tobytes())).view(np.int64)) for a, b in zip(bounds[:-1][some], bounds[1:][some], strict=True)]
             lists = []
             short = np.append(bounds[:-1][some], len(flat))
-            both = paths(signatures(flat, short), trees) if some.any() else (np.zeros((0, 4 * trees), np.uint64), np.zeros((0, 16 * trees), np.uint64))
+            tokens = signatures(flat, short) if some.any() else np.zeros((0, TOKENS), np.uint64)
+            both = paths(tokens, trees)
+            low = iter((mix(tokens, 1) & np.uint64(255)).astype(np.uint8))
+            sketches = [next(low).tobytes() if x else None for x in some]
             for part in both:
                 edges = np.concatenate([[0], np.cumsum(some * part.shape[1])]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(part.view(np.int64).ravel())))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), table.column("row").combine_chunks(), pa.array(nodes, mask=~some), *lists], ["doc_id", "row", "node", "second", "fourth"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), table.column("row").combine_chunks(), pa.array(nodes, mask=~some), *lists, pa.array(sketches, pa.binary())], ["doc_id", "row", "node", "second", "fourth", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, node long, second array<long>, fourth array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, node long, second array<long>, fourth array<long>, sketch binary")
 
 
 def meetings(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between each set and the least one in each tree node where it meets others."""
+    """Edges (a, b) that join sets which meet in a tree node and whose sketches agree.
+
+    Of a node's pairs only what joins them is kept, not each pair. In the rare deep node with more than LARGE
+    sets all are joined with the least one.
+    """
     level = sets.select("node", F.posexplode("second").alias("pos", "path"))
     sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("b")).filter("n > 1")
     met = level.join(sizes, "path")
-    done = met.filter(f"n <= {SMALL}").select(F.col("node").alias("a"), "b")
+    done = met.filter(f"n <= {SMALL}").select("node", "path")
     # a node at place i of the second level has places 4i to 4i+3 of the fourth below it
     deep = met.filter(f"n > {SMALL}").select("node", "pos").join(sets.select("node", "fourth"), "node").select("node", F.explode(F.slice("fourth", F.col("pos") * 4 + 1, 4)).alias("path"))
     least = deep.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("b")).filter("n > 1")
-    return done.unionByName(deep.join(least, "path").select(F.col("node").alias("a"), "b")).filter("a <> b").distinct()
+    far = cut(deep.join(least, "path"))
+    bins = 8 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tried = done.unionByName(far.filter(f"n <= {LARGE}").select("node", "path")).join(sets.select("node", "sketch"), "node")
+
+    def near(part: pa.Table) -> pa.Table:
+        order = np.argsort(path := part.column("path").to_numpy(), kind="stable")
+        node, sketch = part.column("node").to_numpy()[order], np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)[order]
+        edge = np.append(np.flatnonzero(np.diff(path[order], prepend=path[order][0] - 1)), len(order))
+        size = np.diff(edge)
+        first = edge[:-1][size == 2]
+        close = (sketch[first] == sketch[first + 1]).sum(1) >= AGREE
+        a, b = [node[first[close]]], [node[first[close] + 1]]
+        for lo, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            own = sketch[lo : lo + n]
+            i, j = np.nonzero(np.triu(np.stack([(own == x).sum(1) for x in own]) >= AGREE, 1))
+            if len(i):
+                root = roots(n, i, j)
+                other = np.flatnonzero(root != np.arange(n))
+                a.append(node[lo : lo + n][other])
+                b.append(node[lo : lo + n][root[other]])
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+    close = tried.withColumn("bin", F.pmod(F.xxhash64("path"), F.lit(bins))).groupBy("bin").applyInArrow(near, "a long, b long")
+    return close.unionByName(far.filter(f"n > {LARGE}").select(F.col("node").alias("a"), "b")).filter("a <> b").distinct()
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +232,7 @@ def _classes(docs: DataFrame, similarity: float, recall: float, block: int) -> D
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col("_row") if "_row" in docs.columns else F.lit(None)).cast("long").alias("row"))
     walked = cut(walk(own, trees_for(similarity, recall)))
     worded = walked.filter("node is not null")
-    sets = cut(worded.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("second").alias("second"), F.first("fourth").alias("fourth")))
+    sets = cut(worded.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("second").alias("second"), F.first("fourth").alias("fourth"), F.first("sketch").alias("sketch")))
     groups = components(meetings(sets))  # node, label
     sizes = groups.groupBy("label").agg(F.count("*").alias("m"))
     chosen = cut(groups.join(sizes, "label").join(sets.select("node", "least"), "node"))
