@@ -96,9 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_chars: int
     short = own.filter((remainder(F.col("doc_id"), held[0]) != held[1]) & (F.length("text") <= most_chars)).select("doc_id").join(pick, "doc_id")
     texts: list[list[str]] = []
     marks: list[int] = []
+    same: dict[str, str] = {}  # one string for each distinct word: the driver holds all words of the sample
     for label in (0, 1):
         for text in drawn(own, short.filter(F.col("toxic_label") == label), sample // 2, seed):
-            if words := text.split():
+            if words := [same.setdefault(w, w) for w in text.split()]:
                 texts.append(words)
                 marks.append(label)
     if not texts or not any(marks) or all(marks):
