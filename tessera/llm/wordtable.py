@@ -208,7 +208,7 @@ def answer(rows: DataFrame, path: str | None, counted: bool, before: str = "") -
 
         def reply(slots: np.ndarray, mine: np.ndarray) -> bytes:
             own = [ids[k] for k in mine.tolist()] if encode else []
-            return pack(slots, totals[mine] if counted else np.zeros(0, np.int64), np.fromiter(map(len, own), np.uint16, len(own)), np.concatenate(own) if own else np.zeros(0, np.uint16))
+            return pack(slots, totals[mine] if counted else np.zeros(0, np.int64), np.fromiter(map(len, own), np.uint32, len(own)), np.concatenate(own) if own else np.zeros(0, np.uint16))
 
         held = []
         for batch in batches:
@@ -268,7 +268,7 @@ class Block:
         if not np.array_equal(slots[place], np.arange(n)):
             raise ValueError("a block's words are not answered once each")
         self.weights = np.concatenate([r[1] for r in replies])[place] if replies and len(replies[0][1]) == len(replies[0][0]) else np.zeros(n, np.int64)
-        sizes = np.concatenate([r[2] for r in replies]) if replies else np.zeros(0, np.uint16)
+        sizes = np.concatenate([r[2] for r in replies]) if replies else np.zeros(0, np.uint32)
         if len(sizes) == n and n:
             begin = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
             self.flat = np.concatenate([r[3] for r in replies])

@@ -307,3 +307,15 @@ def test_lm_is_a_distribution():
     lc, ls = model.predict(ids[:6], np.array([0, 6]), ready)
     alone = np.concatenate([model.predict(np.append(ids[:4], c), np.array([0, 5]), ready)[0][-1:] for c in [int(np.flatnonzero(model.classes == k)[0]) for k in range(model.count)]])
     assert (10.0**alone).sum() == pytest.approx(1, abs=1e-4) and (lc <= 1e-6).all() and (ls <= 1e-6).all()
+
+
+def test_chunk_of_many_ids(spark, library):
+    # no space to cut at: one chunk of more ids than 16 bits count
+    text = "\n".join(f"{i:x}," for i in range(40_000))
+    want = library.encode(text, add_special_tokens=False).ids
+    assert len(want) > 65_535
+    one = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    rows = {r["doc_id"]: r["ids"] for r in bpe.encode(one, PATH).collect()}
+    assert rows[1] == want
+    assert sum(r["length"] for r in packing.packed(one, PATH).collect()) == len(want) + 1 + len(rows[2]) + 1
+    assert {r["doc_id"] for r in lm.score(one.withColumn("text", F.regexp_replace("text", "\n", ";")), PATH, rows=2, steps=2).collect()} == {1, 2}
