@@ -4,7 +4,8 @@ Neighbour lists start from random-hyperplane cells and are refined by joins of n
 vectors in one vector's neighbourhood are tried as neighbours of each other. Vectors whose whole list is over
 the threshold are saturated; their lists are enlarged to all they can reach over close edges, compared
 exactly in blocks. The recall of links is audited against brute force for a bounded set of vectors, and
-more cells and rounds follow while it is under the target.
+more cells and rounds follow while it is under the target. If it stays under it, labels of up to `exact`
+vectors are compared in full, and larger ones raise an error.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .graph import components
 from .jaccard import roots
 
 EDGES = "u long, v long, sim float"
+#: star: u and v are in one group of close vectors of a cell's part; such an edge is no place of a list.
+STARRED = EDGES + ", star boolean"
 
 
 def _matrix(column: pa.ChunkedArray, kind: str = "<f8") -> np.ndarray:
@@ -50,15 +53,26 @@ def units(vectors: DataFrame) -> DataFrame:
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each list."""
-    place = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).drop("place")
+    """The k nearest of each list, and all stars where there are any."""
+    star = ["star"] if "star" in edges.columns else []
+    place = Window.partitionBy("u", *star).orderBy(F.desc("sim"), "v")
+    kept = (F.col("place") <= k) | F.col("star") if star else F.col("place") <= k
+    return edges.groupBy("u", "v", *star).agg(F.max("sim").alias("sim")).withColumn("place", F.row_number().over(place)).filter(kept).select("u", "v", "sim", *star)
 
 
-def cells(base: DataFrame, trees: int, k: int, cell: int, seed: int) -> DataFrame:
+def equals(base: DataFrame) -> DataFrame:
+    """(a, b): each vector that has equals of its label, with the first of them."""
+    own = base.select("uid", "label", F.xxhash64("x").alias("h"), F.length("x").alias("bytes"))
+    first = own.groupBy("label", "h", "bytes").agg(F.min("uid").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return own.join(first, ["label", "h", "bytes"]).filter("uid <> b").select(F.col("uid").alias("a"), "b")
+
+
+def cells(base: DataFrame, trees: int, k: int, cell: int, seed: int, close: float) -> DataFrame:
     """First lists: the nearest within cells of random hyperplanes, of some `cell` vectors of one label.
 
-    A cell that holds more than four times as many is dealt into parts by a hash.
+    A cell that holds more than four times as many is dealt into parts by a hash that has the tree and the seed
+    in it, so a vector meets others each time. All vectors of a part that reach each other over cosines of at
+    least `close` have an edge to the first of them (star), however full their lists are.
     """
     sizes = base.groupBy("label", F.length("x").alias("bytes")).agg(F.count("*").alias("n"))
 
@@ -80,22 +94,28 @@ def cells(base: DataFrame, trees: int, k: int, cell: int, seed: int) -> DataFram
                     yield pa.RecordBatch.from_arrays([own.column("uid"), own.column("label"), pa.array(key.view(np.int64)), own.column("x")], ["uid", "label", "key", "x"])
 
     spread = base.withColumn("bytes", F.length("x")).join(sizes, ["label", "bytes"]).mapInArrow(run, "uid long, label string, key long, x binary")
-    spread = spread.withColumn("key", F.xxhash64("label", "key", F.length("x")))
+    spread = spread.withColumn("key", F.xxhash64("label", "key", F.length("x"), F.lit(seed)))
     counts = spread.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = spread.join(counts, "key").select("uid", "x", F.xxhash64("key", F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / (4 * cell)))).alias("key"))
+    dealt = spread.join(counts, "key").select("uid", "x", F.xxhash64("key", F.pmod(F.xxhash64("uid", "key"), F.ceil(F.col("n") / (4 * cell)))).alias("key"))
 
     def nearest(part: pa.Table) -> pa.Table:
         order = np.argsort(key := part.column("key").to_numpy(), kind="stable")
         uid, raw = part.column("uid").to_numpy()[order], part.column("x").to_pylist()
         edge = np.append(np.flatnonzero(np.diff(key[order], prepend=key[order][0] - 1)), len(order))
-        out = []
+        out, stars = [], []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if b - a > 1:
                 x = np.frombuffer(b"".join(raw[i] for i in order[a:b]), "<f8").reshape(b - a, -1).astype(np.float32)
-                out.append(_top(uid[a:b], x @ x.T, k))
-        return _edges(out)
+                sim = x @ x.T
+                root = roots(b - a, *np.nonzero(np.triu(sim >= close, 1)))
+                own = np.flatnonzero(root != np.arange(b - a))
+                stars.append((uid[a:b][own], uid[a:b][root[own]], np.ones(len(own), np.float32)))
+                out.append(_top(uid[a:b], sim, k))
+        lists, joined = _edges(out), _edges(stars)
+        mark = np.arange(len(lists) + len(joined)) >= len(lists)
+        return pa.concat_tables([lists, joined]).append_column("star", pa.array(mark))
 
-    return dealt.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(_bins(dealt)))).groupBy("bin").applyInArrow(nearest, EDGES)
+    return dealt.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(_bins(dealt)))).groupBy("bin").applyInArrow(nearest, STARRED)
 
 
 def _bins(df: DataFrame) -> int:
@@ -188,53 +208,81 @@ def verify(base: DataFrame, groups: DataFrame, threshold: float, block: int = 10
 
 
 def audit(base: DataFrame, links: DataFrame, threshold: float, most: int = 512, seed: int = 5) -> tuple[float, int]:
-    """(recall, true links) of at most `most` vectors, those with the least hashes, against brute force over all."""
-    sample = base.orderBy(F.xxhash64("uid", F.lit(seed)), "uid").limit(most).select("uid", "label", "x").collect()
-    if not sample:
+    """(recall, vectors with links among those tried) of at most twice `most` vectors against brute force over all.
+
+    The recall is the mean, over vectors that have links, of the share of a vector's links that was found: a
+    vector with many links counts as much as one with few. Half of the vectors are those with the least hashes
+    among all, which finds vectors whose links were all missed, half those among the vectors with links.
+    """
+    order = F.xxhash64("uid", F.lit(seed))
+    wanted = base.select("uid", "label", "x")
+    linked = wanted.join(links.select(F.col("u").alias("uid")), "uid", "left_semi")
+    drawn = {r["uid"]: r for df in (wanted, linked) for r in df.orderBy(order, "uid").limit(most).collect()}
+    if not drawn:
         return 1.0, 0
+    sample = sorted(drawn.values(), key=lambda r: r["uid"])
     uid = np.array([r["uid"] for r in sample])
-    label = np.array([r["label"] for r in sample])
-    x = [np.frombuffer(r["x"], "<f8") for r in sample]
+    sets: dict[tuple, list[int]] = {}
+    for k, r in enumerate(sample):
+        sets.setdefault((r["label"], len(r["x"])), []).append(k)
+    x = {key: np.stack([np.frombuffer(sample[k]["x"], "<f8") for k in own]) for key, own in sets.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(uid), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                labels, raw, own = np.array(batch.column("label").to_pylist()), batch.column("x").to_pylist(), batch.column("uid").to_numpy()
-                for k in range(len(uid)):
-                    rows = np.flatnonzero((labels == label[k]) & (own != uid[k]))
-                    rows = rows[[len(raw[i]) == 8 * len(x[k]) for i in rows]] if len(rows) else rows
-                    if len(rows):
-                        total[k] += int((np.frombuffer(b"".join(raw[i] for i in rows), "<f8").reshape(len(rows), -1) @ x[k] >= threshold).sum())
+            own: dict[tuple, list[int]] = {}
+            raw, ids = batch.column("x").to_pylist(), batch.column("uid").to_numpy()
+            for i, (label, value) in enumerate(zip(batch.column("label").to_pylist(), raw, strict=True)):
+                own.setdefault((label, len(value)), []).append(i)
+            for key in own.keys() & sets.keys():
+                there = np.frombuffer(b"".join(raw[i] for i in own[key]), "<f8").reshape(len(own[key]), -1)
+                close = (x[key] @ there.T >= threshold) & (uid[sets[key]][:, None] != ids[own[key]][None, :])
+                total[sets[key]] += close.sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(total)], ["u", "all"])
 
-    true = base.select("uid", "label", "x").mapInArrow(run, "u long, all long").groupBy("u").agg(F.sum("all").alias("all")).filter("all > 0")
-    row = true.join(links, "u", "left").agg(F.sum("all").alias("a"), F.sum(F.least("all", F.coalesce("n", F.lit(0)))).alias("b")).first()
-    return ((row["b"] or 0) / row["a"] if row["a"] else 1.0), int(row["a"] or 0)
+    true = wanted.mapInArrow(run, "u long, all long").groupBy("u").agg(F.sum("all").alias("all")).filter("all > 0")
+    row = true.join(links, "u", "left").agg(F.count("*").alias("m"), F.avg(F.least("all", F.coalesce("n", F.lit(0))) / F.col("all")).alias("recall")).first()
+    return (row["recall"] if row["m"] else 1.0), row["m"]
+
 
+def full(base: DataFrame, exact: int) -> DataFrame:
+    """(node, label): one group of each label and length, for verify() to compare all of it; an error for more than `exact` vectors."""
+    first = base.groupBy(F.col("label").alias("name"), F.length("x").alias("bytes")).agg(F.min("uid").alias("label"), F.count("*").alias("n"))
+    largest = first.agg(F.max("n")).first()[0] or 0
+    if largest > exact:
+        raise RuntimeError(f"near duplicates: recall under the target, and {largest} vectors of one label are too many to compare in full ({exact})")
+    return base.select(F.col("uid").alias("node"), F.col("label").alias("name"), F.length("x").alias("bytes")).join(first, ["name", "bytes"]).select("node", "label")
 
-def near(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees: int = 6, cell: int = 64, rounds: int = 2, target: float = 0.98, tries: int = 3) -> DataFrame:
+
+def near(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees: int = 6, cell: int = 64, rounds: int = 2, target: float = 0.98, tries: int = 3, exact: int = 200_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Rows link when labels are equal and not null and the cosine, in doubles, is at least the threshold; rows
     whose vector is null, empty, zero or holds null or non-finite components, and rows of different length,
     link with nothing. Rows with equal vec_id are rows of their own. component_id is the least vec_id
-    reachable over links, kept says whether it is the row's own.
+    reachable over links, kept says whether it is the row's own. Where the audited recall stays under the target,
+    labels of up to `exact` vectors are compared in full and larger ones raise an error.
     """
     every = units(vectors)
     base = every.filter("x is not null")
-    lists = None
+    close = threshold - 1e-4
+    lists, joined = None, equals(base)
     for step in range(tries):
-        start = _best(cells(base, trees, k, cell, 17 + step), k)
-        lists = cut(start if lists is None else _best(lists.unionByName(start), k))
+        start = cut(_best(cells(base, trees, k, cell, 17 + step, close), k))
+        joined = joined.unionByName(start.filter("star").select(F.col("u").alias("a"), F.col("v").alias("b")))
+        start = start.filter("not star").drop("star")
+        lists = start if lists is None else cut(_best(lists.unionByName(start), k))
         for turn in range(rounds):
             lists = descend(base, lists, k, turn)
-        groups = cut(components(lists.filter(F.col("sim") >= threshold - 1e-4).select(F.col("u").alias("a"), F.col("v").alias("b"))))
+        groups = cut(components(lists.filter(F.col("sim") >= close).select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(joined)))
         checked = cut(verify(base, groups, threshold))
         links = cut(checked.groupBy("u").agg(F.sum("n").alias("n")))
         recall, _ = audit(base, links, threshold)
         if recall >= target:
             break
+    else:
+        checked = cut(verify(base, full(base, exact), threshold))
+        links = cut(checked.groupBy("u").agg(F.sum("n").alias("n")))
     final = components(checked.select(F.col("u").alias("a"), F.col("root").alias("b")))
     ids = every.select(F.col("uid").alias("node"), "vec_id")
     named = final.join(ids, "node")

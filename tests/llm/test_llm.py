@@ -319,3 +319,28 @@ def test_chunk_of_many_ids(spark, library):
     assert rows[1] == want
     assert sum(r["length"] for r in packing.packed(one, PATH).collect()) == len(want) + 1 + len(rows[2]) + 1
     assert {r["doc_id"] for r in lm.score(one.withColumn("text", F.regexp_replace("text", "\n", ";")), PATH, rows=2, steps=2).collect()} == {1, 2}
+
+
+def test_neardup_hot_groups(spark):
+    # groups that fill many parts of a cell: equal vectors, and near ones whose lists are full of each other
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(1, 16)), 2400, 0)
+    x[1600:] = rng.normal(size=(1, 16)) + rng.normal(size=(800, 16)) * 1e-4
+    vectors = spark.createDataFrame([(i, [float(a) for a in v], int(i >= 1600)) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {tuple(r)[1:3] for r in neardup.near(vectors, tries=1, target=0.0).collect()}
+    assert got == {(1599, 0), (799, 1600)}
+
+
+def test_neardup_missed_target(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 8))
+    x[30:] = x[:30] + rng.normal(size=(30, 8)) * 0.001
+    vectors = spark.createDataFrame([(i, [float(a) for a in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    few = dict(k=1, trees=1, cell=2, rounds=0, tries=1, target=2.0)
+    assert [r["n_links"] for r in neardup.near(vectors, **few).orderBy("vec_id").collect()] == [1] * 60
+    with pytest.raises(RuntimeError, match="recall"):
+        neardup.near(vectors, exact=59, **few)
+    base = neardup.units(vectors)
+    found = spark.createDataFrame([(base.filter("vec_id = 0").first()["uid"], 1)], "u long, n long")
+    recall, tried = neardup.audit(base, found, 0.98)
+    assert tried == 60 and recall == pytest.approx(1 / 60)
