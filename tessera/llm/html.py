@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import column_ids, slices
 
-_ATTRS = r"""((?:[^>"']|"[^"]{0,100000}"|'[^']{0,100000}')*+)"""
+#: A quote opens a value only after "=", and only if the page has its other end; all other quotes are plain characters.
+_ATTRS = r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)*+)"""
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(script|style|template|noscript|iframe|svg|math|object|textarea|select|button|title|canvas|audio|video)\b{_ATTRS}>.*?(?:</\1\s*>|\Z)"

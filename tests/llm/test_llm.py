@@ -344,3 +344,14 @@ def test_neardup_missed_target(spark):
     found = spark.createDataFrame([(base.filter("vec_id = 0").first()["uid"], 1)], "u long, n long")
     recall, tried = neardup.audit(base, found, 0.98)
     assert tried == 60 and recall == pytest.approx(1 / 60)
+
+
+def test_html_long_values():
+    long = "x" * 250_000
+    page = '<nav data-a="{0}"><p>{1}</p></nav><article title=\'{0}\'><p>{1}<img src="data:{0}"> end</p></article><script src="{0}">var leak</script>'.format(long, "some words " * 30)
+    want = " ".join(["some words"] * 30) + " end"
+    assert html.main_text(page) == want
+    # quotes that open no value, or have no other end
+    text = "plain words " * 30
+    for tag in ("<p class=it's>", '<p "x>', '<p title="x"y">', '<p title="never>'):
+        assert html.main_text(f"<article>{tag}{text}</p></article>") == text.strip()
