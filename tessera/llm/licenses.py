@@ -1,11 +1,14 @@
 """Licence scans by sentence rules, in DataFrame functions only (operator 7).
 
-Texts are cut into sentences; a normalised sentence is a known licence sentence or not, by an equality join;
-a document's known sentences in order are matched against licences, each an ordered list of sentence ids.
+Texts are cut into parts at ends of sentences and lines. A known licence sentence is found where its words are
+those of a run of parts, so it may be wrapped over lines or hold colons; a document's known sentences in order
+are matched against licences, each an ordered list of sentence ids.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +54,7 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice-kept", "as-is"]),
     ("Proprietary", ["rights"]),
 ]
-#: A sentence ends at a newline, or at a full stop, colon, question or exclamation mark before white space.
+#: A part ends at a newline, or at a full stop, colon, question or exclamation mark before white space.
 GAP = r"\n|[.:?!][ \t\r]+"
 
 
@@ -63,20 +66,26 @@ def normalise(sentence):
 def scan(docs: DataFrame, sentences: list = SENTENCES, rules: list = RULES) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences) of every row.
 
-    n_sentences counts known sentences, sentence_ids has them in order, licences the matched ones, sorted and
-    distinct, joined by commas. A null, empty or unlicensed text has 0 and empty values; repeated rows stay. The
+    n_sentences counts known sentences, sentence_ids has them in order of their first words, licences the matched
+    ones, sorted and distinct, joined by commas. Of sentences that start at one part the longest counts ("BY-" before a line
+    of "NC" is not BY). Lines without letters don't end a sentence. A null, empty or unlicensed text has 0 and empty values; repeated rows stay. The
     rule tables are constants of the program, so they are joined as a broadcast table and as literals.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(sorted(set(sentences)), "sentence_id string, said string").select("sentence_id", normalise(F.col("said")).alias("norm")).distinct()
-    longest = max(len(s) for _, s in sentences) + 200
+    norms = [(i, " ".join(re.findall("[a-z]+", said.lower()))) for i, said in sorted(set(sentences))]
+    norms = sorted({(i, norm) for i, norm in norms if norm})
+    known = spark.createDataFrame([(n, i) for i, n in norms], "norm string, sentence_id string")
+    longest_first = sorted({n for _, n in norms}, key=lambda n: (-len(n), n))
+    place = r"\n(?=(" + ("|".join(n.replace(" ", "[ \\n]") for n in longest_first) or "(?!)") + r")\n)"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = F.filter(F.split("text", GAP), lambda s: (F.length(s) <= longest) & F.lower(s).rlike("licen|public domain|redistribut|warrant|permission|rights reserved"))
-    # one row for each candidate sentence, one with null for the others: no document is lost
-    rows = own.select("doc_id", F.monotonically_increasing_id().alias("row"), F.transform(parts, normalise).alias("parts"))
+    # parts as lines of words in lower case, with a newline before the first and after the last
+    lines = F.regexp_replace(F.regexp_replace(F.lower("text"), GAP, "\n"), r"[^a-z\n]+", " ")
+    flat = F.regexp_replace(F.concat(F.lit("\n"), lines, F.lit("\n")), r" *\n[ \n]*", "\n")
+    # one row for each sentence found, one for each other document: no document is lost
+    rows = own.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(flat, F.lit(place), F.lit(1)).alias("parts"))
     plain = rows.filter(F.size("parts") == 0).select("doc_id", F.lit(0).cast("long").alias("n_sentences"), F.lit("").alias("sentence_ids"), F.lit("").alias("licences"))
-    found = rows.filter(F.size("parts") > 0).select("doc_id", "row", F.posexplode("parts").alias("pos", "norm")).join(F.broadcast(known), "norm", "left")
-    listed = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.transform(F.array_sort(F.collect_list(F.when(F.col("sentence_id").isNotNull(), F.struct("pos", "sentence_id")))), lambda x: x["sentence_id"]).alias("ids"))
+    found = rows.filter(F.size("parts") > 0).select("doc_id", "row", F.posexplode("parts").alias("pos", "part")).withColumn("norm", F.translate("part", "\n", " ")).join(F.broadcast(known), "norm")
+    listed = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence_id"))), lambda x: x["sentence_id"]).alias("ids"))
     text = F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|"))
     # ids in order with others between: a pattern of the literal ids
     hits = F.array(*[F.when(text.rlike("(?s)" + "(?:.*?)".join(rf"\|\Q{i}\E(?=\|)" for i in order)), F.lit(name)) for name, order in rules])

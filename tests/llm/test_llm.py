@@ -355,3 +355,23 @@ def test_html_long_values():
     text = "plain words " * 30
     for tag in ("<p class=it's>", '<p "x>', '<p title="x"y">', '<p title="never>'):
         assert html.main_text(f"<article>{tag}{text}</p></article>") == text.strip()
+
+
+def test_licenses_wrapped(spark):
+    import textwrap
+
+    said = {}
+    for i, x in licenses.SENTENCES:
+        said.setdefault(i, []).append(x)
+    gpl = said["gpl-notice"][1]
+    comment = lambda names, mark: "\n".join(f"{mark} {line}" for i in names for line in textwrap.wrap(said[i][0], 60))
+    rows = [
+        (1, gpl), (2, "\n".join(textwrap.wrap(gpl, 70))), (3, comment(["mit-grant", "mit-notice-kept", "as-is"], " *")), (4, comment(["bsd-use", "bsd-source", "bsd-binary"], "//")),
+        (5, "# Unless required by applicable law\n# nothing\n# " + comment(["apache-copy", "apache-warranty"], "#")), (6, "not licensed under\nthe MIT License."), (8, "Licensed under CC BY-\nNC 4.0."), (7, "*" * 900 + " Released under the MIT License. " + "=" * 900),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_sentences"], r["licences"]) for r in licenses.scan(docs).collect()}
+    assert got == {1: (1, "GPL-3.0"), 2: (1, "GPL-3.0"), 3: (3, "MIT"), 4: (3, "BSD-2-Clause"), 5: (2, "Apache-2.0"), 6: (0, ""), 7: (1, "MIT"), 8: (1, "CC-BY-NC-4.0")}
+    own = [("a", "Free as air"), ("b", "Free as air. And water: always.")]
+    mine = licenses.scan(spark.createDataFrame([(1, "x\nFree as air. And\nwater: always. Free as air")], "doc_id long, text string"), own, [("Air", ["b", "a"])]).first()
+    assert tuple(mine) == (1, 2, "b,a", "Air")
