@@ -102,17 +102,21 @@ def remainder(column, n: int):
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def drawn(docs, among, rows: int, seed: int) -> list[str]:
-    """Texts of at most `rows` rows of docs whose doc_id is among those of `among` with the least hashes.
+def drawn(docs, among, rows: int, seed: int, most_chars: int) -> list[str]:
+    """At most `rows` texts of at most `most_chars` characters of docs whose doc_id is among those of `among`: those
+    with the least hashes of their ids.
 
-    Ids are chosen first, so no text is moved but those drawn.
+    Ids are chosen first, so no text is moved but those drawn. An id that stands on several rows gives one text, so no
+    more than `rows` rows come to the driver however often an id is repeated.
     """
     from pyspark.sql import functions as F
 
+    fits = F.coalesce(F.length("text"), F.lit(0)) <= most_chars
     order = F.xxhash64("doc_id", F.lit(seed))
-    ids = [r[0] for r in among.filter("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(rows).collect()]
+    short = docs.filter("doc_id is not null").filter(fits).select("doc_id").distinct().join(among.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = [r[0] for r in short.orderBy(order, "doc_id").limit(rows).collect()]
     if not ids:
         return []
-    own = docs.select("doc_id", "text").filter(F.col("doc_id").isin(ids)).collect()
+    own = docs.select("doc_id", "text").filter(F.col("doc_id").isin(ids)).filter(fits).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
     place = {d: k for k, d in enumerate(ids)}
-    return [r["text"] or "" for r in sorted(own, key=lambda r: (place[r["doc_id"]], r["text"] or ""))][:rows]
+    return [r["text"] for r in sorted(own, key=lambda r: place[r["doc_id"]])]

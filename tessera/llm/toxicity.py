@@ -31,19 +31,19 @@ def indices(words: list[str]) -> np.ndarray:
     return np.array([[zlib.crc32(x.encode()) & mask for x in _parts(w)] for w in words], np.int64).reshape(len(words), 5)
 
 
-def chain(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Forward-backward: P(toxic) at each word; sequences lie one after another in emit.
+def messages(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds at each word of what is up to it, and of what comes after it; sequences lie one after another in emit.
 
     trans has the logs of moving 0-1, 1-0 and 1-1 against 0-0; emit is the log odds of a word alone.
     """
     order = np.argsort(-lengths, kind="stable")
     begin = (np.concatenate([[0], np.cumsum(lengths)])[:-1])[order]
     size = lengths[order]
+    ahead, behind = np.zeros(len(emit)), np.zeros(len(emit))
     if not len(size) or size[0] == 0:
-        return np.zeros(len(emit))
+        return ahead, behind
     t01, t10, t11 = np.exp(trans)
     active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # sequences with a word at each step
-    ahead, behind = np.empty(len(emit)), np.empty(len(emit))
     r = np.ones(0)
     for t, n in enumerate(active.tolist()):
         at = begin[:n] + t
@@ -60,9 +60,27 @@ def chain(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarra
         b[:inner] = np.log((t10 + t11 * x[:inner]) / (1 + t01 * x[:inner]))
         behind[at] = b
         x[:n] = np.exp(np.clip(b + emit[at], -60, 60))
+    return ahead, behind
+
+
+def chain(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Forward-backward: P(toxic) at each word."""
+    ahead, behind = messages(emit, lengths, trans)
     return 1 / (1 + np.exp(-np.clip(ahead + behind, -60, 60)))
 
 
+def moves(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) at each word, and P(0-1), P(1-0) and P(1-1) of each word (but a sequence's first) with the one before it."""
+    ahead, behind = messages(emit, lengths, trans)
+    later = np.ones(len(emit), bool)
+    later[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
+    b = np.flatnonzero(later)
+    before, after = np.exp(ahead[b - 1]), np.exp(np.clip(emit[b] + behind[b], -60, 60))
+    t01, t10, t11 = np.exp(trans)
+    ways = np.stack([t01 * after, t10 * before, t11 * before * after])
+    return 1 / (1 + np.exp(-np.clip(ahead + behind, -60, 60))), ways / (1 + ways.sum(0))
+
+
 def long_chain(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """chain() with long sequences cut into parts that see CONTEXT words beyond both ends."""
     if not len(lengths) or lengths.max() <= CHAIN + 2 * CONTEXT:
@@ -84,30 +102,33 @@ def long_chain(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.n
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_chars: int = 20_000, held: tuple[int, int] = (5, 0), seed: int = 3) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_chars: int = 20_000, held: tuple[int, int] = (5, 0), seed: int = 3, most_windows: int = 8000) -> dict:
     """A model from at most `sample` labelled rows of at most `most_chars` characters, none of which is held out.
 
+    Training takes at most `most_windows` windows of 32 words with a toxic word, and at most twice as many others. A null
+    doc_id has no label, so its row teaches nothing; in the query it counts as held out only if the crc32 of an empty text does.
+
     Labels are of documents; words get theirs from the sample: a word of a toxic document is toxic if it, or
     its first four or five letters, follow different words in toxic documents often enough (once for each
     hundred of them, and four times) and hardly stand in any other. Copies and near copies so count once.
     """
     pick = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("toxic_label")).filter(F.col("toxic_label").isNotNull()).groupBy("doc_id").agg(F.max("toxic_label").alias("toxic_label"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    short = own.filter((remainder(F.col("doc_id"), held[0]) != held[1]) & (F.length("text") <= most_chars)).select("doc_id").join(pick, "doc_id")
+    open_to = pick.filter(remainder(F.col("doc_id"), held[0]) != held[1])
     texts: list[list[str]] = []
     marks: list[int] = []
     same: dict[str, str] = {}  # one string for each distinct word: the driver holds all words of the sample
     for label in (0, 1):
-        for text in drawn(own, short.filter(F.col("toxic_label") == label), sample // 2, seed):
+        for text in drawn(own, open_to.filter(F.col("toxic_label") == label), sample // 2, seed, most_chars):
             if words := [same.setdefault(w, w) for w in text.split()]:
                 texts.append(words)
                 marks.append(label)
     if not texts or not any(marks) or all(marks):
         return {"weights": np.zeros(1 << BITS, np.float32), "trans": np.zeros(3), "scale": [0.0, 0.0, -3.0]}
-    return train(texts, marks, seed)
+    return train(texts, marks, seed, most_windows)
 
 
-def train(texts: list[list[str]], marks: list[int], seed: int = 3) -> dict:
+def train(texts: list[list[str]], marks: list[int], seed: int = 3, most_windows: int = 8000) -> dict:
     once = {tuple(w): k for k, w in reversed(list(enumerate(texts)))}
     texts, marks = [texts[k] for k in sorted(once.values())], [marks[k] for k in sorted(once.values())]
     # documents with a feature, by label; and in toxic ones the pairs of a word with it and the word before,
@@ -134,8 +155,8 @@ def train(texts: list[list[str]], marks: list[int], seed: int = 3) -> dict:
             part = own[lo : lo + width]
             target = bad[part] & bool(mark)
             (hit if target.any() else calm).append((part, target))
-    calm = [calm[i] for i in rng.permutation(len(calm))[: max(4000, 2 * min(len(hit), 8000))]]
-    hit = [hit[i] for i in rng.permutation(len(hit))[:8000]]
+    calm = [calm[i] for i in rng.permutation(len(calm))[: max(most_windows // 2, 2 * min(len(hit), most_windows))]]
+    hit = [hit[i] for i in rng.permutation(len(hit))[:most_windows]]
     pool = hit + calm
     weights, trans = np.zeros(1 << BITS), np.array([-2.0, 0.0, 0.0])
     bias = -3.0
@@ -148,15 +169,15 @@ def train(texts: list[list[str]], marks: list[int], seed: int = 3) -> dict:
             lengths = np.array([len(r[0]) for r in rows])
             feats = table[flat]
             emit = weights[feats].sum(1) + bias
-            p = chain(emit, lengths, trans)
+            p, ways = moves(emit, lengths, trans)
             g = np.bincount(feats.ravel(), np.repeat(p - y, feats.shape[1]), 1 << BITS) / len(rows) + 1e-5 * weights
             speed_w += g * g
             weights -= 0.5 / (epoch + 1) ** 0.5 * g / np.sqrt(speed_w)
-            first = np.zeros(len(flat), bool)
-            first[np.concatenate([[0], np.cumsum(lengths)])[:-1]] = True
-            a, b = np.flatnonzero(~first) - 1, np.flatnonzero(~first)
-            # expected moves under near independence of marginals at these odds, against the observed ones
-            gt = np.array([((1 - p[a]) * p[b] - (1 - y[a]) * y[b]).sum(), (p[a] * (1 - p[b]) - y[a] * (1 - y[b])).sum(), (p[a] * p[b] - y[a] * y[b]).sum()]) / len(rows)
+            later = np.ones(len(flat), bool)
+            later[np.cumsum(lengths) - lengths] = False
+            a, b = np.flatnonzero(later) - 1, np.flatnonzero(later)
+            # expected moves, by the marginals of neighbours, against the observed ones
+            gt = (ways - np.stack([(1 - y[a]) * y[b], y[a] * (1 - y[b]), y[a] * y[b]])).sum(1) / len(rows)
             speed_t += gt * gt
             trans -= 0.1 * gt / np.sqrt(speed_t)
     emit_of = weights[table].sum(1) + bias

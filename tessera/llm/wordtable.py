@@ -179,12 +179,13 @@ def answer(rows: DataFrame, path: str | None, counted: bool, before: str = "") -
     """Resolves each distinct word once: ids of the encoder at path, and with counted its weight over all blocks.
 
     before stands before each word when it is encoded. Rows keep their shape; with counted, kind 2 has a
-    partition's sums: words with weight, their weight, the weight of each id, and the weight and number of
-    such words by first id.
+    partition's sums: words with weight and their weight, and the weight of each id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)[0] if path else None
+        encode, pieces = encoder(path) if path else (None, [])
+        if len(pieces) > 1 << 16:
+            raise ValueError("ids of more than 16 bits")
         number: dict[bytes, int] = {}
         ids: list[np.ndarray] = []
         totals = np.zeros(1024, np.int64)
@@ -232,11 +233,9 @@ def answer(rows: DataFrame, path: str | None, counted: bool, before: str = "") -
             flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
             each = np.repeat(own, [len(x) for x in ids]) if ids else np.zeros(0)
             by_id = np.bincount(flat, each).astype(np.int64)
-            first = np.array([x[0] for x in ids], np.int64) if ids else np.zeros(0, np.int64)
-            by_first = [np.bincount(first, x).astype(np.int64) for x in ((own, own > 0) if ids else ([], []))]
             from pyspark import TaskContext
 
-            yield _rows([[TaskContext.get().partitionId()], [-1], [2], [pack(np.array([(own > 0).sum(), own.sum()], np.int64), by_id, *by_first)]])
+            yield _rows([[TaskContext.get().partitionId()], [-1], [2], [pack(np.array([(own > 0).sum(), own.sum()], np.int64), by_id)]])
 
     return rows.mapInArrow(run, ROWS)
 

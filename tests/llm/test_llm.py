@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, graph, html, jaccard, licenses, lm, neardup, packing, quality, queries, toxicity, urls, wordtable
+from tessera.llm import bpe, common, graph, html, jaccard, licenses, lm, neardup, packing, quality, queries, toxicity, urls, wordtable
 
 PATH = queries.vocabulary()
 ODD = [(1, None), (2, ""), (3, " "), (4, "  a  b \n\n c\t\td  "), (5, "x<|endoftext|> y <|endoftext|>z"), (None, "don't we'll I'M 's  　x\x1c?\x1cy \x85 é 日本語 🙂🙂 ½²"), (7, "\n"), (8, "a\n b\n\n  c\r\n d \x00 e"), (9, "a \n b"), (9, "a \n b"), (10, "long " * 3000)]
@@ -135,6 +135,18 @@ def test_chain_is_exact():
                 one += math.exp(s) * np.array(state)
             assert np.allclose(got[at : at + n], one / total if n else [])
             at += n
+    for lengths in ([9], [4, 0, 5]):  # moves: the slope of the log of the sum over all ways
+        def total(t, lengths=lengths):
+            out, at = 0.0, 0
+            for n in lengths:
+                ways = [sum(emit[at + i] * s[i] for i in range(n)) + sum([[0, t[0]], [t[1], t[2]]][s[i]][s[i + 1]] for i in range(n - 1)) for s in np.ndindex(*[2] * n)] if n else [0.0]
+                out += math.log(sum(map(math.exp, ways)))
+                at += n
+            return out
+
+        p, ways = toxicity.moves(emit, np.array(lengths), trans)
+        assert np.allclose(p, toxicity.chain(emit, np.array(lengths), trans))
+        assert np.allclose(ways.sum(1), [(total(trans + d) - total(trans - d)) / 2e-5 for d in np.eye(3) * 1e-5], atol=1e-6)
     long = rng.normal(size=5000)
     assert np.allclose(toxicity.long_chain(long, np.array([3000, 2000]), trans), toxicity.chain(long, np.array([3000, 2000]), trans), atol=1e-9)
 
@@ -262,12 +274,14 @@ def test_urls(spark):
 
 def test_lm_gradients():
     rng = np.random.default_rng(4)
-    model = lm.Model(rng.integers(0, 5, 40), np.arange(30), 1)
+    counts = np.zeros(lm.END + 1)
+    counts[:40] = rng.integers(1, 50, 40)
+    model = lm.Model(counts, np.arange(30), rng.integers(0, 5, 30), 1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    model.p["i"] += rng.normal(size=model.p["i"].shape) * 0.1
     ids = rng.integers(0, 40, 90)
     given, goal = lm.windows(ids, np.array([0, 50, 90]))
     assert sorted(goal[goal >= 0].tolist()) == sorted(ids.tolist())
-    model.row = np.concatenate([model.row, np.zeros(lm.END + 1 - 40, np.int64)])
     _, g = model.step(given, goal)
     for name in model.p:
         flat = model.p[name].reshape(-1)
@@ -281,6 +295,25 @@ def test_lm_gradients():
         assert (up - down) / 2e-5 == pytest.approx(np.asarray(g[name]).reshape(-1)[i], rel=1e-2, abs=1e-6), name
 
 
+def _plain_score(model, ids):
+    """log10 of a text's probability id by id, each with the ids that its window shows, without batches or tables."""
+    p, total = model.p, 0.0
+    for t, goal in enumerate(ids):
+        if model.place[goal] < 0:
+            total += model.share[goal]
+            continue
+        seen = [lm.END, *ids][max(0, t // lm.STRIDE * lm.STRIDE - lm.WINDOW + lm.STRIDE) : t + 1]
+        e = p["E"][model.rows(np.array(seen))].astype(float)
+        s = e @ p["k"] @ (e[-1] @ p["q"]) / lm.KEY**0.5 + p["r"][np.arange(len(seen))[::-1]]
+        a = np.exp(s - s.max())
+        z = np.maximum(e[-1] @ p["w"] + (a / a.sum()) @ (e @ p["v"]) + p["b"], 0)
+        c = model.of[goal]
+        lo, hi = model.edges[c : c + 2]
+        top, inner = z @ p["o"] + p["c"], z @ p["i"][lo:hi].T + p["d"][lo:hi]
+        total += top[c] - np.log(np.exp(top).sum()) + inner[model.place[goal] - lo] - np.log(np.exp(inner).sum()) + np.log1p(-model.other)
+    return total / np.log(10)
+
+
 def test_lm(spark, docs, empty):
     rows = {}
     for r in lm.score(docs, PATH, rows=40, steps=30).collect():
@@ -300,13 +333,37 @@ def test_lm(spark, docs, empty):
 
 
 def test_lm_is_a_distribution():
-    pieces = wordtable.encoder(PATH)[1]
-    ids = np.array([262, 290, 278, 262, 290, lm.END] * 30)
-    model = lm.train([ids], pieces, classes=8, own_rows=50, steps=5)
+    ids = np.array([262, 290, 278, 262, 290, 1000, lm.END] * 30)
+    counts = np.bincount(ids, minlength=lm.END + 1).astype(float)
+    counts[777] = 2
+    model = lm.train([ids, ids[::-1].copy()], counts, classes=3, own_rows=4, steps=5)
     ready = model.tables()
-    lc, ls = model.predict(ids[:6], np.array([0, 6]), ready)
-    alone = np.concatenate([model.predict(np.append(ids[:4], c), np.array([0, 5]), ready)[0][-1:] for c in [int(np.flatnonzero(model.classes == k)[0]) for k in range(model.count)]])
-    assert (10.0**alone).sum() == pytest.approx(1, abs=1e-4) and (lc <= 1e-6).all() and (ls <= 1e-6).all()
+    every = np.arange(lm.END + 1)
+    own = model.predict(np.column_stack([np.full((len(every), 2), 262), every]).ravel(), np.arange(len(every) + 1) * 3, ready)
+    assert (10.0 ** own[2::3]).sum() == pytest.approx(1, abs=1e-4) and (own <= 1e-6).all()
+    text = np.concatenate([np.random.default_rng(2).choice([262, 290, 777, 5, 1000], 130), [lm.END]])
+    whole = model.predict(np.concatenate([[262], [lm.END], text]), np.array([0, 2, 2 + len(text)]), ready)
+    assert whole[2:].sum() == pytest.approx(_plain_score(model, text.tolist()), rel=1e-4)
+
+
+def test_lm_beats_counts(spark, data):
+    docs = spark.read.parquet(data.replace("0.001", "0.01") + "/documents.parquet")
+    held = lm.score(docs, PATH, seed=11).filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert held[1] > held[0]
+
+
+def test_lm_refine(spark, data, empty):
+    encode = wordtable.encoder(PATH)[0]
+    texts = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").limit(80).collect()]
+    ids = [lm._encoded(x, encode) for x in texts]
+    counts = np.bincount(np.concatenate(ids), minlength=lm.END + 1).astype(float)
+    model = lm.train(ids[:20], counts, steps=60)
+    flat, bounds = np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    before, kept = model.predict(flat, bounds, model.tables()).sum(), {k: v.copy() for k, v in model.p.items()}
+    lm.refine(empty, PATH, model, 1, 4, 16)
+    assert all((model.p[k] == kept[k]).all() for k in kept)
+    lm.refine(spark.createDataFrame([(x,) for x in [*texts, None, ""]], "text string").repartition(40), PATH, model, 1, 12, 32)
+    assert model.predict(flat, bounds, model.tables()).sum() > before
 
 
 def test_chunk_of_many_ids(spark, library):
@@ -321,6 +378,20 @@ def test_chunk_of_many_ids(spark, library):
     assert {r["doc_id"] for r in lm.score(one.withColumn("text", F.regexp_replace("text", "\n", ";")), PATH, rows=2, steps=2).collect()} == {1, 2}
 
 
+def test_one_long_word(spark, library):
+    word = "".join(f"{i * 7919 % 1_000_003:x}" for i in range(200_000))
+    one = spark.createDataFrame([(1, word), (2, "a b"), (2, word)], "doc_id long, text string")
+    want = library.encode(word, add_special_tokens=False).ids
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in bpe.digests(one, PATH).collect()) == [(1, len(want)), (2, 2), (2, len(want))]
+    assert sum(r["length"] for r in packing.packed(one, PATH).collect()) == 2 * (len(want) + 1) + 3
+    assert sorted(r["n_tokens"] for r in lm.score(one, PATH, rows=2, steps=2).collect()) == [2, 2, 3]
+
+
+def test_drawn_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, "x")] * 50 + [(1, "y" * 50), (2, None), (None, "z")], "doc_id long, text string")
+    assert sorted(common.drawn(rows, rows, 10, 3, 20)) == ["", "x"]
+
+
 def test_neardup_hot_groups(spark):
     # groups that fill many parts of a cell: equal vectors, and near ones whose lists are full of each other
     rng = np.random.default_rng(6)
