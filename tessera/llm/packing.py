@@ -49,6 +49,7 @@ def pack(items: DataFrame, most: int = 1024, group: int = 16_384, rounds: int =
     Groups of about `group` pieces, dealt by a hash, are packed each in one task, which wastes less than a
     sequence a group; what stays in underfull sequences after the local search is dealt and packed again
     in groups made from many (spread of them), so that waste falls with each level and no task sees an unbounded set.
+    An empty table gives no rows; equal pieces are packed each.
     Pieces need 1 <= length <= most; ties go by length, uid and piece, so equal input is packed alike.
     """
     if spread is None:
@@ -125,55 +126,88 @@ def best_fit(lengths: list[int], most: int) -> list[list[int]]:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: list[list[int]], most: int, rounds: int) -> list[list[int]]:
-    """Local search among underfull bins: moves, one-for-one and two-for-one exchanges that raise the sum of squared fills.
+def improve(lengths: np.ndarray, bins: list[list[int]], most: int, rounds: int, patience: int = 64) -> list[list[int]]:
+    """Local search among all underfull bins: moves, one-for-one and two-for-one exchanges that raise the sum of squared fills.
 
-    An exchange between a fuller bin A and another bin B takes more out of B than it gives back, by at most
-    A's room; the squared fill then grows. It goes on until no exchange is left, B is empty, or for `rounds`
-    passes. Bins are visited from the emptiest, which empties bins one after another.
+    A donor, from the emptiest bin on, gives one or two pieces to another underfull bin, against none or one of its
+    pieces, so that what it gives is more by at most the other's room; of all such exchanges with all pieces of all
+    other bins the one that moves most is made, until none is left or the donor is empty. Passes over the donors
+    go on until nothing changes, for `rounds` at most. The search ends where as few bins are used as the lengths allow,
+    and a pass after `patience` donors in turn that could not be emptied: those after them are fuller still.
     """
     fill = [int(lengths[b].sum()) for b in bins]
+    least = -(-int(lengths.sum()) // most)
+    used = sum(f > 0 for f in fill)
     for _ in range(rounds):
         changed = False
         under = sorted((k for k in range(len(bins)) if 0 < fill[k] < most), key=lambda k: fill[k])
-        for x, b in enumerate(under[:64]):
-            for a in reversed(under[x + 1 :][-256:]):
-                if not bins[b]:
+        failed = 0
+        for place, b in enumerate(under):
+            if used <= least:
+                return bins
+            if failed == patience:
+                break
+            others = [k for k in under[place + 1 :] if fill[k] < most]
+            while others and bins[b]:
+                step = _exchange(lengths, bins, fill, b, others, most)
+                if step is None:
                     break
-                if fill[a] >= fill[b]:
-                    while (step := _exchange(lengths, bins[a], bins[b], most - fill[a])) is not None:
-                        give, take = step
-                        moved = sum(int(lengths[i]) for i in take) - sum(int(lengths[i]) for i in give)
-                        bins[a] = [i for i in bins[a] if i not in give] + take
-                        bins[b] = [i for i in bins[b] if i not in take] + give
-                        fill[a] += moved
-                        fill[b] -= moved
-                        changed = True
-                        if fill[a] == most or not bins[b]:
-                            break
+                a, give, take = step
+                moved = sum(int(lengths[i]) for i in take) - sum(int(lengths[i]) for i in give)
+                bins[a] = [i for i in bins[a] if i not in give] + take
+                bins[b] = [i for i in bins[b] if i not in take] + give
+                fill[a] += moved
+                fill[b] -= moved
+                changed = True
+                if fill[a] == most:
+                    others.remove(a)
+            used -= not bins[b]
+            failed = failed + 1 if bins[b] else 0
         if not changed:
             break
     return bins
 
 
-def _exchange(lengths: np.ndarray, a: list[int], b: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """The exchange that fills most of A's room: (pieces A gives, pieces it takes from B)."""
+def _exchange(lengths: np.ndarray, bins: list[list[int]], fill: list[int], b: int, others: list[int], most: int) -> tuple[int, list[int], list[int]] | None:
+    """The exchange that moves most out of bin b: (bin, pieces it gives, pieces it takes from b).
+
+    Lengths are small whole numbers, so for each sum of one or two pieces of b the shortest piece that may go
+    for it is looked up: no pair of bins is tried by itself.
+    """
+    held = np.concatenate([[-1], *[bins[k] for k in others]]).astype(np.int64)[1:]
+    owner = np.repeat(others, [len(bins[k]) for k in others])
+    # nothing at all, as a piece of length 0 in each bin, then their pieces
+    size = np.concatenate([np.zeros(len(others), np.int64), lengths[held]])
+    whose = np.concatenate([others, owner]).astype(np.int64)
+    filled = np.array(fill, np.int64)[whose]
+    reach = size + most - filled
+    stays = filled - size  # in the other bin: the squared fill grows if more stays there than in b
+    order = np.lexsort((-stays, -reach, size))
+    size, reach, stays = size[order], reach[order], stays[order]
+    sums: dict[int, list[int]] = {}
+    own = sorted(bins[b], key=lambda i: -int(lengths[i]))
+    distinct: dict[int, list[int]] = {}
+    for i in own:
+        distinct.setdefault(int(lengths[i]), []).append(i)
+    for n, same in distinct.items():
+        sums.setdefault(n, [same[0]])
+    sizes = list(distinct)
+    for x, n in enumerate(sizes):
+        for m in sizes[x:]:
+            if n + m <= most and n + m not in sums and (n != m or len(distinct[n]) > 1):
+                sums[n + m] = [distinct[n][0], distinct[m][0] if n != m else distinct[n][1]]
     best, found = 0, None
-    for j in b:
-        gain = int(lengths[j])
-        if best < gain <= room:
-            best, found = gain, ([], [j])
-    for i in a[:64]:
-        out = int(lengths[i])
-        for x, j in enumerate(b[:64]):
-            gain = int(lengths[j]) - out
-            if best < gain <= room:
-                best, found = gain, ([i], [j])
-            for k in b[x + 1 : 64]:
-                two = gain + int(lengths[k])
-                if best < two <= room:
-                    best, found = two, ([i], [j, k])
-    return found
+    for total, take in sums.items():
+        # shorter pieces come first: the first that fits moves most for this sum
+        end = int(np.searchsorted(size, total - best, "left"))
+        fits = np.flatnonzero((reach[:end] >= total) & (stays[:end] > fill[b] - total))
+        if len(fits):
+            at = int(fits[0])
+            best, found = total - int(size[at]), (int(order[at]), take)
+    if found is None:
+        return None
+    at, take = found
+    return int(whose[at]), [] if at < len(others) else [int(held[at - len(others)])], take
 
 
 def packed(docs: DataFrame, path: str, most: int = 1024, end: int = 2) -> DataFrame:
