@@ -3,7 +3,8 @@
 Texts with equal shingle sets are one class from the start. Every set walks down a few random trees: a node
 of a tree picks two tokens of the set's minhash signature, and the set goes on to the children that these
 tokens' values name, so sets meet in a node through tokens they share. Nodes that few sets reach are done;
-those of larger nodes go two levels deeper. Two sets of similarity s stay together in a tree with probability
+sets of larger nodes go two levels deeper, again and again, until their nodes are small or hold close copies that no
+token parts. Sets of a node are held against each other, in blocks where there are many. Two sets of similarity s stay together in a tree with probability
 q = 1 - (1 - s q)^2; trees are repeated until 1 - (1 - q)^trees passes the target recall. Sets that meet are
 joined into groups, each group is compared exactly, in blocks where it is large.
 """
@@ -24,7 +25,8 @@ from .common import column_ids, mix, slices
 from .graph import components
 
 TOKENS = 64
-SMALL, LARGE = 64, 512
+#: Nodes of more than SMALL sets are split while that parts them: a node below one keeps less than SHRINK of it.
+SMALL, SHRINK = 64, 0.5
 #: Of TOKENS bytes of two sketches, so many agree at least where sets are tried: 51 are expected at a similarity of 0.8,
 #: with a deviation of 3.2.
 AGREE = 34
@@ -97,7 +99,8 @@ def paths(tokens: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def walk(docs: DataFrame, trees: int) -> DataFrame:
-    """(doc_id, row, node, second, fourth, sketch) of every row; node is a hash of the shingle set, null for a text without words.
+    """(doc_id, row, said, node, second, fourth, sketch) of every row; node is a hash of the shingle set, null for a text
+    without words, said a hash of the text.
 
     row is a column of docs, or null where docs has none.
     """
@@ -119,27 +122,52 @@ def walk(docs: DataFrame, trees: int) -> DataFrame:
             for part in both:
                 edges = np.concatenate([[0], np.cumsum(some * part.shape[1])]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(part.view(np.int64).ravel())))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), table.column("row").combine_chunks(), pa.array(nodes, mask=~some), *lists, pa.array(sketches, pa.binary())], ["doc_id", "row", "node", "second", "fourth", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), table.column("row").combine_chunks(), table.column("said").combine_chunks(), pa.array(nodes, mask=~some), *lists, pa.array(sketches, pa.binary())], ["doc_id", "row", "said", "node", "second", "fourth", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, node long, second array<long>, fourth array<long>, sketch binary")
+    return docs.withColumn("said", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, said long, node long, second array<long>, fourth array<long>, sketch binary")
 
 
-def meetings(sets: DataFrame) -> DataFrame:
+def below(path, sketch, levels: int = 2):
+    """The 2 ** levels nodes under a node: each level picks a token by the node, and goes where its byte in the sketch says."""
+    nodes = F.array(path)
+    for _ in range(levels):
+        nodes = F.flatten(F.transform(nodes, lambda x: F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.xxhash64(x, k, F.substring(sketch, F.pmod(F.xxhash64(x, k), F.lit(TOKENS)).cast("int") + 1, F.lit(1))))))
+    return nodes
+
+
+def meetings(sets: DataFrame, block: int = 512, levels: int = 12) -> DataFrame:
     """Edges (a, b) that join sets which meet in a tree node and whose sketches agree.
 
-    Of a node's pairs only what joins them is kept, not each pair. In the rare deep node with more than LARGE
-    sets all are joined with the least one.
+    Of a node's pairs only what joins them is kept, not each pair. A node with more than `block` sets is compared
+    in pairs of blocks, each in a task of its own; that is where splitting doesn't part its sets, or after `levels` levels.
     """
-    level = sets.select("node", F.posexplode("second").alias("pos", "path"))
-    sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("b")).filter("n > 1")
-    met = level.join(sizes, "path")
-    done = met.filter(f"n <= {SMALL}").select("node", "path")
-    # a node at place i of the second level has places 4i to 4i+3 of the fourth below it
-    deep = met.filter(f"n > {SMALL}").select("node", "pos").join(sets.select("node", "fourth"), "node").select("node", F.explode(F.slice("fourth", F.col("pos") * 4 + 1, 4)).alias("path"))
-    least = deep.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("b")).filter("n > 1")
-    far = cut(deep.join(least, "path"))
+    level = sets.select("node", F.posexplode("second").alias("pos", "path")).withColumn("up", F.lit(None).cast("long"))
+    done, depth = [], 2
+    while True:
+        sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.first("up").alias("up")).filter("n > 1")
+        ready = (F.col("n") <= SMALL) | F.coalesce(F.col("n") > SHRINK * F.col("up"), F.lit(False)) | F.lit(depth >= levels)
+        met = cut(level.drop("up").join(sizes.select("path", "n", ready.alias("ready")), "path"))
+        done.append(met.filter("ready").select("node", "path", "n"))
+        deep = met.filter("not ready")
+        if deep.isEmpty():
+            break
+        if depth == 2:  # a node at place i of the second level has places 4i to 4i+3 of the fourth below it
+            nodes = F.slice("fourth", F.col("pos") * 4 + 1, 4)
+        else:
+            nodes = below(F.col("path"), F.col("sketch"))
+        level = deep.join(sets.select("node", "fourth", "sketch"), "node").select("node", F.lit(0).alias("pos"), F.explode(nodes).alias("path"), F.col("n").alias("up"))
+        depth += 2
     bins = 8 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tried = done.unionByName(far.filter(f"n <= {LARGE}").select("node", "path")).join(sets.select("node", "sketch"), "node")
+    tried = done[0]
+    for more in done[1:]:
+        tried = tried.unionByName(more)
+    cuts = F.ceil(F.col("n") / block).cast("int")
+    spot = F.pmod(F.xxhash64("node", F.lit(2)), cuts).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), cuts - 1), lambda k: F.struct(F.least(k, spot).alias("lo"), F.greatest(k, spot).alias("hi")))
+    # small nodes share a bin, and so a call; each pair of blocks of a large one has a bin of its own
+    whole = tried.filter(F.col("n") <= block).select("node", "path", F.pmod(F.xxhash64("path"), F.lit(bins)).alias("bin"))
+    parts = tried.filter(F.col("n") > block).select("node", "path", F.explode(pairs).alias("pair")).select("node", F.xxhash64("path", "pair.lo", "pair.hi").alias("path"), F.xxhash64("path", "pair.lo", "pair.hi", F.lit(1)).alias("bin"))
+    tried = whole.unionByName(parts).join(sets.select("node", "sketch"), "node")
 
     def near(part: pa.Table) -> pa.Table:
         order = np.argsort(path := part.column("path").to_numpy(), kind="stable")
@@ -151,7 +179,7 @@ def meetings(sets: DataFrame) -> DataFrame:
         a, b = [node[first[close]]], [node[first[close] + 1]]
         for lo, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
             own = sketch[lo : lo + n]
-            i, j = np.nonzero(np.triu(np.stack([(own == x).sum(1) for x in own]) >= AGREE, 1))
+            i, j = np.nonzero(np.stack([(own == x).sum(1) >= AGREE for x in own]))
             if len(i):
                 root = roots(n, i, j)
                 other = np.flatnonzero(root != np.arange(n))
@@ -159,8 +187,7 @@ def meetings(sets: DataFrame) -> DataFrame:
                 b.append(node[lo : lo + n][root[other]])
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
-    close = tried.withColumn("bin", F.pmod(F.xxhash64("path"), F.lit(bins))).groupBy("bin").applyInArrow(near, "a long, b long")
-    return close.unionByName(far.filter(f"n > {LARGE}").select(F.col("node").alias("a"), "b")).filter("a <> b").distinct()
+    return tried.groupBy("bin").applyInArrow(near, "a long, b long").filter("a <> b").distinct()
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -210,9 +237,10 @@ def join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999, block
     class_id is the least doc_id that links of similarity or more reach; n_links counts the different shingle
     sets linked directly, n_copies the other rows with the same set. A text without words links with nothing:
     its class is its own doc_id. Repeated rows are copies; other columns are ignored. A row whose doc_id is
-    null belongs to its class; a class of such rows only has a null id.
+    null belongs to its class; a class of such rows only has a null id. An empty
+    table gives no rows.
     """
-    return _classes(docs, similarity, recall, block).select("doc_id", "class_id", "n_links", "n_copies")
+    return _classes(docs, None, similarity, recall, block).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def first_of_each(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999, block: int = 512) -> DataFrame:
@@ -220,23 +248,29 @@ def first_of_each(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99
 
     Rows without words are all kept. docs is read twice and must give its rows in the same partitions, as files do.
     """
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = _classes(marked, similarity, recall, block)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
-    best = found.filter("label is not null").groupBy("label").agg(F.min(order).alias("best")).select(F.col("best._row").alias("_row"))
-    kept = best.unionByName(found.filter("label is null").select("_row"))
-    return marked.join(kept, "_row", "left_semi").drop("_row")
-
-
-def _classes(docs: DataFrame, similarity: float, recall: float, block: int) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col("_row") if "_row" in docs.columns else F.lit(None)).cast("long").alias("row"))
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    marked = docs.withColumn(row, F.monotonically_increasing_id())
+    found = _classes(marked, row, similarity, recall, block)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    best = found.filter("label is not null").groupBy("label").agg(F.min(order).alias("best")).select(F.col("best.row").alias(row))
+    kept = best.unionByName(found.filter("label is null").select(F.col("row").alias(row)))
+    return marked.join(kept, row, "left_semi").drop(row)
+
+
+def _classes(docs: DataFrame, row: str | None, similarity: float, recall: float, block: int) -> DataFrame:
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(row) if row else F.lit(None)).cast("long").alias("row"))
     walked = cut(walk(own, trees_for(similarity, recall)))
     worded = walked.filter("node is not null")
-    sets = cut(worded.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("second").alias("second"), F.first("fourth").alias("fourth"), F.first("sketch").alias("sketch")))
+    # a set's text is read again from one row, named by its id and the hash of its text: a null or repeated id is no hot key
+    spot = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("said"))
+    sets = cut(worded.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(spot).alias("at"), F.count("*").alias("n"), F.first("second").alias("second"), F.first("fourth").alias("fourth"), F.first("sketch").alias("sketch")))
     groups = components(meetings(sets))  # node, label
     sizes = groups.groupBy("label").agg(F.count("*").alias("m"))
-    chosen = cut(groups.join(sizes, "label").join(sets.select("node", "least"), "node"))
-    text = own.join(chosen, F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "label", "m", "text")
+    chosen = cut(groups.join(sizes, "label").join(sets.select("node", F.col("at.said").alias("said"), F.coalesce("at.id", F.lit(0).cast("long")).alias("id"), F.col("at.none").alias("none")), "node"))
+    named = own.select(F.xxhash64("text").alias("said"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("none"), "text")
+    text = named.join(chosen, ["said", "id", "none"]).groupBy("node", "label", "m").agg(F.first("text").alias("text"))
     cuts = F.ceil(F.col("m") / block).cast("int")
     spot = F.pmod(F.xxhash64("node"), cuts)
     pairs = F.transform(F.sequence(F.lit(0), cuts - 1), lambda k: F.struct(F.least(k, F.col("spot").cast("int")).alias("lo"), F.greatest(k, F.col("spot").cast("int")).alias("hi")))
@@ -256,9 +290,7 @@ def _classes(docs: DataFrame, similarity: float, recall: float, block: int) -> D
             held: dict[int, tuple[np.ndarray, int]] = {}
             for k in rows.tolist():
                 node, own_set = int(nodes[k]), flat[bounds[k] : bounds[k + 1]]
-                # a doc_id may stand on several rows: only the row with this set counts, once
-                if node not in held and len(own_set) and np.uint64(xxhash.xxh64_intdigest(own_set.tobytes())).view(np.int64) == node:
-                    held[node] = (own_set, int(spots[k]))
+                held[node] = (own_set, int(spots[k]))
             left = [k for k in held if held[k][1] == lo]
             right = [k for k in held if held[k][1] != lo] if lo != hi else []
             if (lo == hi and len(left) < 2) or (lo != hi and not (left and right)):
@@ -279,6 +311,6 @@ def _classes(docs: DataFrame, similarity: float, recall: float, block: int) -> D
     classes = sets.select("node", "least", "n").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = classes.groupBy("label").agg(F.min("least").alias("class_id"))
     known = classes.join(named, "label").join(links, "node", "left").select("node", "label", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
-    found = worded.select("doc_id", F.col("row").alias("_row"), "node").join(known, "node").select("doc_id", "_row", "label", "class_id", "n_links", "n_copies")
-    empty = walked.filter("node is null").select("doc_id", F.col("row").alias("_row"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
+    found = worded.select("doc_id", "row", "node").join(known, "node").select("doc_id", "row", "label", "class_id", "n_links", "n_copies")
+    empty = walked.filter("node is null").select("doc_id", "row", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
     return found.unionByName(empty)
