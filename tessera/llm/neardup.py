@@ -33,23 +33,28 @@ def _matrix(column: pa.ChunkedArray, kind: str = "<f8") -> np.ndarray:
 
 
 def units(vectors: DataFrame) -> DataFrame:
-    """(uid, vec_id, label, x): x is the unit vector in doubles as bytes, null where the row can have no link."""
+    """(uid, vec_id, label, x, y): the unit vector as bytes, in doubles and in floats, null where the row can have no link.
+
+    Lists are found with floats, which is half of what is moved; links are decided in doubles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, short = [], []
             for value, label in zip(batch.column("embedding").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                x = None
+                x = y = None
                 if value and label is not None and None not in value:
                     a = np.array(value, np.float64)
                     if np.isfinite(a).all() and a.any():
                         a = a / np.abs(a).max()
-                        x = (a / np.linalg.norm(a)).tobytes()
+                        a = a / np.linalg.norm(a)
+                        x, y = a.tobytes(), a.astype("<f4").tobytes()
                 out.append(x)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("uid", "vec_id", "label")), pa.array(out, pa.binary())], ["uid", "vec_id", "label", "x"])
+                short.append(y)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("uid", "vec_id", "label")), pa.array(out, pa.binary()), pa.array(short, pa.binary())], ["uid", "vec_id", "label", "x", "y"])
 
     own = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return cut(own.mapInArrow(run, "uid long, vec_id long, label string, x binary"))
+    return cut(own.mapInArrow(run, "uid long, vec_id long, label string, x binary, y binary"))
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -91,21 +96,21 @@ def cells(base: DataFrame, trees: int, k: int, cell: int, seed: int, close: floa
                     key = np.full(len(x), t + 1, np.uint64)
                     for d in range(int(depth.max())):
                         key = np.where(d < depth, mix(key, bits[:, d].astype(np.uint64) + np.uint64(1)), key)
-                    yield pa.RecordBatch.from_arrays([own.column("uid"), own.column("label"), pa.array(key.view(np.int64)), own.column("x")], ["uid", "label", "key", "x"])
+                    yield pa.RecordBatch.from_arrays([own.column("uid"), own.column("label"), pa.array(key.view(np.int64)), own.column("y")], ["uid", "label", "key", "y"])
 
-    spread = base.withColumn("bytes", F.length("x")).join(sizes, ["label", "bytes"]).mapInArrow(run, "uid long, label string, key long, x binary")
-    spread = spread.withColumn("key", F.xxhash64("label", "key", F.length("x"), F.lit(seed)))
+    spread = base.withColumn("bytes", F.length("x")).join(sizes, ["label", "bytes"]).mapInArrow(run, "uid long, label string, key long, y binary")
+    spread = spread.withColumn("key", F.xxhash64("label", "key", F.length("y"), F.lit(seed)))
     counts = spread.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = spread.join(counts, "key").select("uid", "x", F.xxhash64("key", F.pmod(F.xxhash64("uid", "key"), F.ceil(F.col("n") / (4 * cell)))).alias("key"))
+    dealt = spread.join(counts, "key").select("uid", "y", F.xxhash64("key", F.pmod(F.xxhash64("uid", "key"), F.ceil(F.col("n") / (4 * cell)))).alias("key"))
 
     def nearest(part: pa.Table) -> pa.Table:
         order = np.argsort(key := part.column("key").to_numpy(), kind="stable")
-        uid, raw = part.column("uid").to_numpy()[order], part.column("x").to_pylist()
+        uid, raw = part.column("uid").to_numpy()[order], part.column("y").to_pylist()
         edge = np.append(np.flatnonzero(np.diff(key[order], prepend=key[order][0] - 1)), len(order))
         out, stars = [], []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if b - a > 1:
-                x = np.frombuffer(b"".join(raw[i] for i in order[a:b]), "<f8").reshape(b - a, -1).astype(np.float32)
+                x = np.frombuffer(b"".join(raw[i] for i in order[a:b]), "<f4").reshape(b - a, -1)
                 sim = x @ x.T
                 root = roots(b - a, *np.nonzero(np.triu(sim >= close, 1)))
                 own = np.flatnonzero(root != np.arange(b - a))
@@ -135,24 +140,27 @@ def _edges(out: list) -> pa.Table:
 
 
 def descend(base: DataFrame, lists: DataFrame, k: int, salt: int) -> DataFrame:
-    """One round: in the neighbourhood of each vector (its list, and up to k that list it), all are tried with each other."""
+    """One round: in the neighbourhood of each vector (its list, and up to k that list it), all are tried with each other.
+
+    Each member gets the k nearest of a neighbourhood as candidates, and keeps the k nearest of all.
+    """
     back = lists.select(F.col("v").alias("u"), F.col("u").alias("v"))
     place = Window.partitionBy("u").orderBy(F.xxhash64("v", F.lit(salt)), "v")
     back = back.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).drop("place")
     around = lists.select("u", "v").unionByName(back).distinct()
     worst = lists.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("held"))
-    members = base.select(F.col("uid").alias("v"), "x").join(worst.select(F.col("u").alias("v"), F.when(F.col("held") >= k, F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("least")), "v")
+    members = base.select(F.col("uid").alias("v"), "y").join(worst.select(F.col("u").alias("v"), F.when(F.col("held") >= k, F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("least")), "v")
 
     def local(part: pa.Table) -> pa.Table:
         order = np.argsort(pivot := part.column("u").to_numpy(), kind="stable")
-        v, least, raw = part.column("v").to_numpy()[order], part.column("least").to_numpy()[order], part.column("x").to_pylist()
+        v, least, raw = part.column("v").to_numpy()[order], part.column("least").to_numpy()[order], part.column("y").to_pylist()
         pivot = pivot[order]
         edge = np.append(np.flatnonzero(np.diff(pivot, prepend=pivot[0] - 1)), len(order))
         out = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if b - a > 1:
-                x = np.frombuffer(b"".join(raw[i] for i in order[a:b]), "<f8").reshape(b - a, -1).astype(np.float32)
-                i, j, s = _top(np.arange(b - a), x @ x.T, 5)
+                x = np.frombuffer(b"".join(raw[i] for i in order[a:b]), "<f4").reshape(b - a, -1)
+                i, j, s = _top(np.arange(b - a), x @ x.T, k)
                 better = s > least[a:b][i]
                 out.append((v[a:b][i[better]], v[a:b][j[better]], s[better]))
         return _edges(out)
@@ -254,14 +262,15 @@ def full(base: DataFrame, exact: int) -> DataFrame:
     return base.select(F.col("uid").alias("node"), F.col("label").alias("name"), F.length("x").alias("bytes")).join(first, ["name", "bytes"]).select("node", "label")
 
 
-def near(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees: int = 6, cell: int = 64, rounds: int = 2, target: float = 0.98, tries: int = 3, exact: int = 200_000) -> DataFrame:
+def near(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees: int = 6, cell: int = 64, rounds: int = 6, target: float = 0.98, tries: int = 3, exact: int = 200_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Rows link when labels are equal and not null and the cosine, in doubles, is at least the threshold; rows
     whose vector is null, empty, zero or holds null or non-finite components, and rows of different length,
     link with nothing. Rows with equal vec_id are rows of their own. component_id is the least vec_id
     reachable over links, kept says whether it is the row's own. Where the audited recall stays under the target,
-    labels of up to `exact` vectors are compared in full and larger ones raise an error.
+    labels of up to `exact` vectors are compared in full and larger ones raise an error. Descent ends with the first
+    round that adds no close edge to the lists, after `rounds` at most; other columns are ignored, an empty table gives no rows.
     """
     every = units(vectors)
     base = every.filter("x is not null")
@@ -272,8 +281,12 @@ def near(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees: int =
         joined = joined.unionByName(start.filter("star").select(F.col("u").alias("a"), F.col("v").alias("b")))
         start = start.filter("not star").drop("star")
         lists = start if lists is None else cut(_best(lists.unionByName(start), k))
+        found = lists.filter(F.col("sim") >= close).count()
         for turn in range(rounds):
             lists = descend(base, lists, k, turn)
+            before, found = found, lists.filter(F.col("sim") >= close).count()
+            if found == before:
+                break
         groups = cut(components(lists.filter(F.col("sim") >= close).select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(joined)))
         checked = cut(verify(base, groups, threshold))
         links = cut(checked.groupBy("u").agg(F.sum("n").alias("n")))
