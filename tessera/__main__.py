@@ -50,11 +50,13 @@ def main(argv: list[str] | None = None) -> int:
         inventory = filesystem.walk(spark, os.path.realpath(a.target), **options).cache()
         files = sweep.readable(inventory)
         report = recon.recon(inventory, files.select("path", "content")).cache()
-        partial = report.select((F.size("unread_code") > 0).alias("x")).first()[0]
-        version = None
+        entries = manifests.entry_points(files).cache()
+        unparsed = entries.filter("unreadable is not null").select("path", "unreadable").distinct()
+        partial = recon.verdict(report, unparsed).first()[0] != 0
+        version, said = None, []
         if a.command == "recon":
             with open(os.path.join(folder, "recon.json"), "w", encoding="utf-8") as f:
-                json.dump(report.first().asDict(recursive=True) | {"coverage_gaps": recon.coverage_gaps(report).first()[0], "version": manifests.version_of(a.target), "excluded": filesystem.present(a.target)}, f, indent=2, ensure_ascii=False)
+                json.dump(report.first().asDict(recursive=True) | {"coverage_gaps": recon.coverage_gaps(report).first()[0], "entry_points": [r.asDict() for r in entries.filter("unreadable is null").orderBy("path", "command").drop("unreadable").collect()], "manifests_unreadable": [r.asDict() for r in unparsed.orderBy("path", "unreadable").collect()], "version": manifests.version_of(a.target), "excluded": filesystem.present(a.target)}, f, indent=2, ensure_ascii=False)
         else:
             if a.command == "sweep":
                 rules = R.load(a.rules) if a.rules else R.agentic()
@@ -69,25 +71,41 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 rules = []
                 resolved = closure.resolve(closure.references(files), inventory)
-                roots = closure.default_roots(inventory).unionByName(manifests.roots(manifests.entry_points(files), inventory).select("path"))
+                roots = closure.default_roots(inventory).unionByName(manifests.roots(entries, inventory).select("path"))
                 if a.entry:
-                    roots = spark.createDataFrame([(e,) for e in a.entry], "path string")
+                    roots = closure.given(spark, a.entry)
+                    resolved = resolved.unionByName(closure.absent(roots, inventory))
                 if roots.isEmpty():
                     print("no root: name one with --entry", file=sys.stderr)
                     return 2
                 reached = closure.reach(resolved.filter("dst is not null").select(F.col("from_path").alias("src"), "dst"), roots)
                 block, source = closure.records(resolved, files, reached, roots), "closure"
+                members = closure.described(closure.members(resolved, reached.join(inventory.select("path"), "path", "left_semi")), inventory, files).cache()
+                said = [r[0] for r in closure.gaps(members, inventory, reached).collect()]
+                listed = lambda df, *by: [r.asDict(recursive=True) for r in df.orderBy(*by).toLocalIterator()]
+                with open(os.path.join(folder, "closure.json"), "w", encoding="utf-8") as f:
+                    json.dump({"roots": listed(roots.distinct(), "path"), "members": listed(members, "path"), "unresolved": listed(closure.unresolved(resolved, reached), "reference", "rule_id", "load"), "unreachable": [r["path"] for r in listed(closure.unreachable(inventory, reached), "path")], "coverage_gaps": said}, f, indent=2, ensure_ascii=False)
             version = sorted({r.version for r in rules})
             table = os.path.join(folder, "ledger")
-            if os.path.isdir(table) and not review.foreign(spark.read.parquet(table)).isEmpty():
+            if os.path.isdir(table) and not review.foreign(spark.read.schema(review.SCHEMA).parquet(table)).isEmpty():
                 print("the ledger holds rows that are not ours", file=sys.stderr)
                 return 2
-            review.write_ledger(block, table)
-            n = review.to_jsonl(spark.read.parquet(table), os.path.join(folder, "hits.jsonl"))
-            print(f"{source}: the ledger has {n} candidates", file=sys.stderr)
+            block = block.cache()
+            mine = block.groupBy("rule_id").count().orderBy("rule_id").collect()
+            review.write_ledger(block, table, source)
+            n = review.to_jsonl(spark.read.schema(review.SCHEMA).parquet(table), os.path.join(folder, "hits.jsonl"))
+            print(f"{source}: {sum(r['count'] for r in mine)} candidates")
+            for r in mine:
+                print(f"  {r['rule_id']}: {r['count']}")
+            print(f"ledger: {n} candidates in {os.path.join(folder, 'hits.jsonl')}")
+            for gap in said:
+                print(f"gap: {gap}")
         manifests.record_run(folder, a.command, {"rules": version, "partial": bool(partial)})
+        if partial:
+            for gap in recon.coverage_gaps(report).first()[0] + [f"{r['path']}: {r['unreadable']}" for r in unparsed.orderBy("path", "unreadable").collect()]:
+                print(f"partial: {gap}", file=sys.stderr)
         return 2 if partial else 0
-    except (R.RuleError, filesystem.Refused) as e:
+    except (R.RuleError, filesystem.Refused, ValueError) as e:
         print(e, file=sys.stderr)
         return 2
 

@@ -10,7 +10,7 @@ from ..functions import text as T
 # Files that show a security process, and suffixes of assets that hold no code.
 SAST = [".github/workflows/codeql.yml", ".github/workflows/codeql.yaml", ".semgrep.yml", ".semgrep.yaml", ".bandit"]
 TEST_FILE = r"(^|/)(test_[^/]+|[^/]+_test)\.[a-z]+$|(^|/)tests?/"
-ASSETS = (".png .jpg .jpeg .gif .webp .bmp .ico .tiff .tif .woff .woff2 .ttf .otf .eot .mp3 .wav .ogg .flac .mp4 .m4a .mov .avi .webm .zip .gz .tgz .bz2 .xz .zst .7z .rar .tar .iso .img .dmg .pkg .deb .rpm .so .dylib .dll .exe .o .a .lib .class .jar .wasm .pyc .pyo .whl").split()
+ASSETS = (".png .jpg .jpeg .gif .webp .bmp .ico .tiff .tif .woff .woff2 .ttf .otf .eot .mp3 .wav .ogg .flac .mp4 .m4a .mov .avi .webm .zip .gz .tgz .bz2 .xz .zst .7z .rar .tar .iso .img .dmg .pkg .deb .rpm .so .dylib .dll .exe .o .a .lib .class .jar .wasm .pyc .pyo .whl .bin .dat .db .sqlite .sqlite3 .pdf .pack .idx").split()
 SHOWN = 5
 
 
@@ -60,6 +60,27 @@ def coverage_gaps(report: DataFrame) -> DataFrame:
     return report.select(F.filter(F.array(*said), lambda x: x.isNotNull()).alias("gaps"))
 
 
-def verdict(report: DataFrame) -> DataFrame:
-    """(exit_code): 2 for a partial review, else 0."""
-    return report.select(F.when(F.size("unread_code") > 0, 2).otherwise(0).alias("exit_code"))
+def gap(paths: DataFrame, before: str, after: str = "") -> DataFrame:
+    """(gap): one sentence on paths (path) with their number and the first few by name, or no row where there are none.
+
+    However many paths there are, only the first few of them meet in one task.
+    """
+    every = paths.select("path").distinct()
+    few = every.orderBy("path").limit(SHOWN).agg(F.array_sort(F.collect_list("path")).alias("few"))
+    count = every.agg(F.count("*").alias("n"))
+    more = F.when(F.col("n") > SHOWN, F.concat(F.lit(", and "), (F.col("n") - SHOWN).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    one = few.withColumn("k", F.lit(1)).join(count.withColumn("k", F.lit(1)), "k")
+    return one.filter("n > 0").select(F.concat(F.col("n").cast("string"), F.lit(f" {before}: "), F.array_join("few", ", "), more, F.lit(after)).alias("gap"))
+
+
+def verdict(report: DataFrame, manifests_unreadable: DataFrame | None = None) -> DataFrame:
+    """(exit_code): 2 for a partial review, else 0.
+
+    A review is partial where a file could not be read, where one that may hold code was not, or where a manifest
+    (path) could not be understood, as the entry points it declares are then unknown.
+    """
+    partial = (F.size("unreadable") > 0) | (F.size("unread_code") > 0)
+    if manifests_unreadable is None:
+        return report.select(F.when(partial, 2).otherwise(0).alias("exit_code"))
+    bad = manifests_unreadable.agg(F.count("*").alias("bad")).withColumn("k", F.lit(1))
+    return report.withColumn("k", F.lit(1)).join(bad, "k").select(F.when(partial | (F.col("bad") > 0), 2).otherwise(0).alias("exit_code"))

@@ -6,6 +6,8 @@ windows are taken from the same array. Only candidates are shuffled, once, for o
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +71,16 @@ def _hits(rule: Rule, every: bool) -> Column:
     else:
         found = F.transform(matched, lambda x: entry(x, F.lit(0), F.length(x["x"])))
     empty = F.array().cast("array<struct<rule_id:string,index:int,start:int,match_excerpt:string>>")
-    return F.when(applies(rule, F.col("path")), found).otherwise(empty)
+    wanted = applies(rule, F.col("path"))
+    if _local(rule.java):
+        wanted = wanted & F.col("content").rlike(rule.java)  # most files hold no match: their lines are not tried
+    return F.when(wanted, found).otherwise(empty)
+
+
+def _local(pattern: str) -> bool:
+    """Whether what the pattern matches in a line it also matches in the whole text: nothing in it looks beyond the match."""
+    plain = re.sub(r"\\\\|\\[\^$]|\[\^", "", pattern)
+    return not re.search(r"\(\?(?:[=!]|<[=!]|>)|[\^$]|\\[ABZzG]|[*+?}]\+", plain)
 
 
 def identify(hits: DataFrame, order: list[str]) -> DataFrame:
@@ -81,11 +92,12 @@ def identify(hits: DataFrame, order: list[str]) -> DataFrame:
 
 def candidates(corpus: DataFrame, rules: list[Rule], source: str, window_spec: str, every: bool) -> DataFrame:
     """Ledger rows with start, window_sha256 and ordinal beside them. corpus has path and content (null: unread)."""
-    files = corpus.filter("content is not null").select("path", T.split_lines(F.col("content")).alias("lines"))
-    found = files.withColumn("hits", F.concat(*[_hits(r, every) for r in rules])).filter(F.size("hits") > 0)
+    files = corpus.filter("content is not null").select("path", F.col("content").cast("string").alias("content"), T.split_lines(F.col("content")).alias("lines"))
+    found = files.withColumn("hits", F.concat(*[_hits(r, every) for r in rules]))
     # windows by line, not by match: a line with many matches has one
     windows = F.transform(F.array_distinct(F.transform("hits", lambda h: h["index"])), lambda i: F.struct(i.alias("index"), T.window(F.col("lines"), i).alias("window")))
-    rows = found.select("path", F.explode(windows).alias("w"), "hits").select("path", "w.index", T.window_sha(F.col("w.window")).alias("window_sha256"), "hits")
+    # an outer explode, as a filter on hits or an inner one would be pushed below them and work them out twice
+    rows = found.select("path", F.explode_outer(windows).alias("w"), "hits").filter("w is not null").select("path", "w.index", T.window_sha(F.col("w.window")).alias("window_sha256"), "hits")
     rows = rows.select("path", "window_sha256", F.inline(F.filter("hits", lambda h: h["index"] == F.col("index"))))
     facts = F.create_map(*[x for r in rules for x in (F.lit(r.id), F.struct(F.lit(r.layer).alias("layer"), F.lit(r.precision).alias("precision"), F.lit(" ".join(r.question.split())).alias("question"), F.lit(r.version).alias("version")))])
     ranked = identify(rows.withColumn("line", F.col("index") + 1), ["line", "start"])

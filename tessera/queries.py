@@ -65,7 +65,7 @@ ledger AS (SELECT left(sha256(path || chr(0) || rule_id || chr(0) || wsha || chr
 
 
 GENERIC = R.generic()
-DOC_RULES = [r for r in GENERIC if r.id != "generic.anchor"]
+DOC_RULES = GENERIC
 DOC_HITS, PAGE_HITS = _hits_sql(DOCS, DOC_RULES), _hits_sql(PAGES, GENERIC)
 
 
@@ -127,11 +127,10 @@ def candidate_id(spark, sf_dir):
     return _doc_hits(spark, sf_dir).select("id", "ordinal")
 
 
-@query(f"WITH {DOCS}, {FILES}, {LINES} SELECT path, CAST(line AS INT) AS line, sha256(nfc_normalize(array_to_string(list_slice(ls, greatest(1, line - 20), line + 20), chr(10)))) AS window_sha256 FROM l WHERE line % 10 = 1")
+@query(f"WITH {DOCS}, {FILES}, {LINES} SELECT path, CAST(line AS INT) AS line, sha256(nfc_normalize(array_to_string(list_slice(ls, greatest(1, line - 20), line + 20), chr(10)))) AS window_sha256 FROM l")
 def window_sha256(spark, sf_dir):
     files = C.documents(spark, sf_dir).select("path", T.split_lines(F.col("content")).alias("lines"))
-    spots = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: i % 10 == 0)
-    each = files.filter("size(lines) > 0").select("path", F.explode(F.transform(spots, lambda i: F.struct((i + 1).alias("line"), T.window(F.col("lines"), i).alias("w")))).alias("x"))
+    each = files.filter("size(lines) > 0").select("path", F.explode(F.transform("lines", lambda _, i: F.struct((i + 1).alias("line"), T.window(F.col("lines"), i).alias("w")))).alias("x"))
     return each.select("path", "x.line", T.window_sha(F.col("x.w")).alias("window_sha256"))
 
 
@@ -204,9 +203,10 @@ def unreachable_anti(spark, sf_dir):
     return closure.unreachable(nodes, _graph(spark, sf_dir)[1]).select(F.col("path").alias("doc_id"))
 
 
-@query("SELECT source AS name, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source HAVING count(*) > 1")
+@query(rf"WITH {CONV} SELECT regexp_extract(path, '[^/]+$') AS name, count(*) AS n, min(path) AS first FROM c GROUP BY ALL HAVING count(*) > 1")
 def basename_ambiguity(spark, sf_dir):
-    return C.documents(spark, sf_dir).groupBy(F.element_at(F.split("path", "/"), 2).alias("name")).agg(F.count("*").alias("n"), F.min(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long")).alias("first")).filter("n > 1")
+    paths = C.conversations(spark, sf_dir)
+    return paths.groupBy(T.basename(F.col("path")).alias("name")).agg(F.count("*").alias("n"), F.min("path").alias("first")).filter("n > 1")
 
 
 JOINS = "('a/b', '../c.md'), ('a', './b/../c.md'), ('', '../x'), ('a', '/etc/x'), ('a', '~/x'), ('a/b/c', '../../d'), ('', 'x//y/.')"
@@ -245,6 +245,37 @@ def citations_grouped(spark, sf_dir):
     return closure.records(resolved, files, reached, roots).select("file", "line", "rule_id", "window_spec")
 
 
+@query("SELECT 'docs/' || source || '/' || doc_id || '.md' AS file, 'closure.content_changed' AS rule_id, 'code' AS layer, left(sha256('docs/' || source || '/' || doc_id || '.md' || chr(0) || 'closure.content_changed' || chr(0) || sha256('the file changed between two reads: the first had digest ' || sha256(text) || ', the second ' || sha256(text || 'x')) || chr(0) || '0'), 16) AS id, 'digest-pair' AS window_spec FROM documents WHERE doc_id % 10 = 0")
+def content_changed_records(spark, sf_dir):
+    files = C.documents(spark, sf_dir)
+    number = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long")
+    now = F.when(number % 10 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content"))
+    altered = closure.changed(files.select("path", F.sha2("content", 256).alias("sha256")), files.select("path", F.sha2(now, 256).alias("sha256")))
+    none = spark.createDataFrame([], "from_path string, line int, raw string, load string, dst string, rule_id string, reason string")
+    paths = files.select("path")
+    return closure.records(none, files, paths, paths, altered).select("file", "rule_id", "layer", "id", "window_spec")
+
+
+@query("SELECT * FROM (VALUES ('SKILL.md', 2, 'closure.remote_resource', 'code', 'If needed, read notes.md or https://x.example/a.md'), ('SKILL.md', 0, 'closure.unresolved_citations', 'code', '1 paths named here lead nowhere: notes.md'), ('docs/guide.md', 0, 'closure.unresolved_citations', 'code', '2 paths named here lead nowhere: ../../out.md, gone.md'), ('scripts/run.sh', 2, 'closure.missing_reference', 'code', 'cat data.bin'), ('nowhere.md', 0, 'closure.missing_reference', 'code', 'nowhere.md')) t(file, line, rule_id, layer, match_excerpt)")
+def closure_excerpts(spark, sf_dir):
+    files, resolved, roots, _ = _tree(spark)
+    roots = roots.unionByName(closure.given(spark, ["./nowhere.md"]))
+    resolved = resolved.unionByName(closure.absent(roots, files))
+    reached = closure.reach(resolved.filter("dst is not null").select(F.col("from_path").alias("src"), "dst"), roots)
+    return closure.records(resolved, files, reached, roots).select("file", "line", "rule_id", "layer", "match_excerpt")
+
+
+@query(f"""{WALK}, p AS (SELECT 'docs/' || source || '/' || doc_id || '.md' AS path FROM documents WHERE doc_id NOT IN (SELECT node FROM r))
+SELECT count(*) || ' files are reached from no entry, and so lie outside the closure: ' || (SELECT string_agg(path, ', ' ORDER BY path) FROM (SELECT path FROM p ORDER BY path LIMIT 5)) || CASE WHEN count(*) > 5 THEN ', and ' || (count(*) - 5) || ' more' ELSE '' END AS gap FROM p HAVING count(*) > 0""")
+def closure_gaps(spark, sf_dir):
+    reached = _graph(spark, sf_dir)[1]
+    files = C.documents(spark, sf_dir).withColumn("number", F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long"))
+    inside = files.join(reached.select(F.col("path").alias("number")), "number", "left_semi").select("path")
+    inventory = files.select("path", F.length("content").cast("long").alias("size"), F.lit("").alias("sha256"), F.lit(False).alias("is_binary"))
+    described = closure.described(inside.select("path", F.lit("direct").alias("load"), F.array().cast("array<string>").alias("referenced_from")), inventory, files)
+    return closure.gaps(described, inventory, inside)
+
+
 LOADS = "SELECT doc_id % 50 AS target, CASE doc_id % 7 WHEN 0 THEN 'direct' WHEN 1 THEN 'conditional' ELSE 'fetch' END AS load FROM documents"
 
 
@@ -281,44 +312,87 @@ def ids_lost_except(spark, sf_dir):
     return review.lost(hits, hits.filter("line > 1"))
 
 
-SNAP = "SELECT doc_id AS id, CASE WHEN doc_id % 5 = {w} THEN 'b' ELSE 'a' END AS window_sha256, CASE WHEN doc_id % 41 = 0 THEN '{s}' ELSE 'lines-20' END AS window_spec, CASE WHEN doc_id % 13 = 0 THEN '{v}' ELSE '1' END AS catalog_version, CASE WHEN doc_id % 17 = 0 THEN '{v}' ELSE '1' END AS target_version, 'm' AS manifest_sha256, {more} FROM {t} WHERE doc_id % 11 <> {gone}"
-NOW, PRIOR = {"w": 1, "s": "block-20", "v": "2", "more": "DATE '2026-06-01' AS today", "gone": 3}, {"w": 9, "s": "lines-20", "v": "1", "more": "CASE WHEN doc_id % 7 = 0 THEN DATE '2025-06-01' ELSE DATE '2026-05-01' END AS verified_day, 180 AS ttl_days", "gone": 4}
+SNAP = "SELECT doc_id AS id, CASE WHEN doc_id % 5 = {w} THEN 'b' ELSE 'a' END AS window_sha256, CASE WHEN doc_id % 41 = 0 THEN '{s}' ELSE 'lines-20' END AS window_spec, CASE WHEN doc_id % 13 = 0 THEN '{v}' ELSE '2026.9' END AS catalog_version, CASE WHEN doc_id % 17 = 0 THEN '{v}' ELSE '1' END AS target_version, CASE WHEN doc_id % 19 = 0 THEN '{m}' ELSE 'm' END AS manifest_sha256, {more} FROM {t} WHERE doc_id % 11 <> {gone}"
+NOW = {"w": 1, "s": "block-20", "v": "2026.10", "m": "n", "more": "DATE '2026-06-01' AS today, doc_id % 2 = 0 AS rule_changed", "gone": 3}
+PRIOR = {"w": 9, "s": "lines-20", "v": "2026.8", "m": "m", "more": "CASE WHEN doc_id % 7 = 0 THEN DATE '2025-06-01' ELSE DATE '2026-05-01' END AS verified_day, 180 AS ttl_days, doc_id % 3 = 0 AS by_grant", "gone": 4}
 
 
-@query(f"""WITH a AS ({SNAP.format(t='documents', **NOW)}), b AS ({SNAP.format(t='documents', **PRIOR)})
-SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'vanished'
-WHEN a.window_spec <> b.window_spec OR a.window_sha256 <> b.window_sha256 OR a.catalog_version > b.catalog_version OR a.manifest_sha256 <> b.manifest_sha256 THEN 'invalidated'
-WHEN a.target_version <> b.target_version OR date_diff('day', b.verified_day, a.today) > b.ttl_days THEN 'expired' ELSE 'fresh' END AS freshness FROM a FULL JOIN b ON a.id = b.id""")
+@query(f"""WITH a AS ({SNAP.format(t='documents', **NOW)}), b AS ({SNAP.format(t='documents', **PRIOR)}),
+j AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'vanished'
+WHEN a.window_spec <> b.window_spec OR a.window_sha256 <> b.window_sha256 THEN 'invalidated'
+WHEN a.rule_changed AND string_split(a.catalog_version, '.')::INT[] > string_split(b.catalog_version, '.')::INT[] THEN 'invalidated'
+WHEN b.by_grant AND a.manifest_sha256 <> b.manifest_sha256 THEN 'invalidated'
+WHEN a.target_version <> b.target_version OR date_diff('day', b.verified_day, a.today) > b.ttl_days THEN 'expired' ELSE 'fresh' END AS freshness FROM a FULL JOIN b ON a.id = b.id)
+SELECT id, freshness, CASE freshness WHEN 'new' THEN 'hard' WHEN 'invalidated' THEN 'hard' WHEN 'expired' THEN 'soft' WHEN 'vanished' THEN 'follow-up' END AS queue FROM j""")
 def rereview_full_outer(spark, sf_dir):
     C.table(spark, sf_dir, "documents").createOrReplaceTempView("tessera_documents")
     return review.rereview(*[spark.sql(SNAP.format(t="tessera_documents", **x)) for x in (NOW, PRIOR)])
 
 
+RESOLVED = "SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'finding' WHEN 1 THEN 'verified-ok' WHEN 2 THEN 'deferred' WHEN 3 THEN 'unresolved' ELSE 'fine' END AS status, CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE 'bounded by the caller' END AS rationale, 'r' AS verified_by, DATE '2026-06-01' AS verified_at, '1' AS catalog_version, '1' AS target_version, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'w' END AS window_sha256, 'lines-20' AS window_spec, 'f' AS anchor FROM {t}"
+
+
+@query(f"""WITH r AS ({RESOLVED.format(t='documents')}) SELECT id, 'unknown status' AS fault FROM r WHERE status NOT IN ('finding', 'verified-ok', 'deferred', 'unresolved')
+UNION ALL SELECT id, 'no rationale' FROM r WHERE status IN ('finding', 'verified-ok', 'deferred') AND coalesce(trim(rationale), '') = ''
+UNION ALL SELECT id, 'no verification record' FROM r WHERE status = 'verified-ok' AND coalesce(trim(rationale), '') <> '' AND window_sha256 IS NULL""")
+def resolution_faults(spark, sf_dir):
+    C.table(spark, sf_dir, "documents").createOrReplaceTempView("tessera_documents")
+    return review.resolution_faults(spark.sql(RESOLVED.format(t="tessera_documents")))
+
+
+GONE = "SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'still-vulnerable' WHEN 1 THEN 'no-longer-vulnerable' WHEN 2 THEN 'inconclusive' END AS poc, doc_id % 3 = 0 AS anchor, CAST(doc_id % 5 AS INT) AS widened FROM {t}"
+
+
+@query(f"""WITH g AS ({GONE.format(t='documents')}),
+s AS (SELECT id, 1 AS strength, 'poc' AS step, 'survives' AS outcome FROM g WHERE poc = 'still-vulnerable' UNION ALL SELECT id, 1, 'poc', 'probably fixed, to be confirmed' FROM g WHERE poc = 'no-longer-vulnerable'
+UNION ALL SELECT id, 2, 'anchor', 'moved, to be reviewed' FROM g WHERE anchor UNION ALL SELECT id, 3, 'sweep', 'rephrased, to be reviewed' FROM g WHERE widened > 0 UNION ALL SELECT id, 4, 'manual', 'to be judged' FROM g)
+SELECT id, arg_min(step, strength) AS step, arg_min(outcome, strength) AS outcome FROM s GROUP BY id""")
+def vanished_follow_up(spark, sf_dir):
+    C.table(spark, sf_dir, "documents").createOrReplaceTempView("tessera_documents")
+    return review.follow_up(spark.sql(GONE.format(t="tessera_documents")))
+
+
 @query(f"WITH {DOC_HITS} SELECT count(*) AS unresolved, count(*) = 0 AS passes FROM ledger")
 def gate_unresolved(spark, sf_dir):
     return review.gate(_doc_hits(spark, sf_dir))
 
 
-FINDINGS = "SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS impact, CASE doc_id % 3 WHEN 0 THEN 'test-only' WHEN 1 THEN 'build-time' ELSE 'remote-unauthenticated' END AS reachability, CASE WHEN doc_id % 5 = 0 THEN 'static' ELSE 'poc' END AS evidence_type, doc_id % 7 <> 0 AS crosses_boundary FROM "
+REACH = ", ".join(_q(x) for x in review.REACHABILITY)
+FINDINGS = f"SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS impact, CASE CAST(doc_id % 11 AS INT) {' '.join(f'WHEN {k} THEN {_q(x)}' for k, x in enumerate(review.REACHABILITY))} ELSE 'by magic' END AS reachability, CASE doc_id % 3 WHEN 0 THEN 'poc' WHEN 1 THEN 'instruction' END AS evidence_type, doc_id % 5 = 0 AS dangerous, doc_id % 7 = 0 AS crosses_boundary FROM "
 
 
-@query(f"""WITH f AS ({FINDINGS} documents), r AS (SELECT id, least(list_position(['informational', 'observation', 'low', 'medium', 'high', 'critical'], impact), CASE reachability WHEN 'test-only' THEN 2 WHEN 'build-time' THEN 4 ELSE 6 END, CASE WHEN evidence_type = 'static' THEN 4 ELSE 6 END, CASE WHEN crosses_boundary THEN 6 ELSE 3 END) AS cap FROM f)
-SELECT id, ['informational', 'observation', 'low', 'medium', 'high', 'critical'][cap] AS severity FROM r""")
+@query(f"""WITH f AS ({FINDINGS} documents), n(name, place) AS (VALUES ('informational', 1), ('observation', 2), ('low', 3), ('medium', 4), ('high', 5), ('critical', 6)),
+c AS (SELECT id, 1 AS k, 'no proof' AS cap, 'observation' AS most FROM f WHERE evidence_type IS NULL
+UNION ALL SELECT id, 2, 'instruction', 'medium' FROM f WHERE evidence_type = 'instruction' AND NOT dangerous
+UNION ALL SELECT id, 3, 'cli-only', 'medium' FROM f WHERE reachability = 'cli-only' AND NOT crosses_boundary
+UNION ALL SELECT id, 4, 'unreachable', 'informational' FROM f WHERE reachability = 'unreachable'),
+l AS (SELECT f.id, c.k, c.cap, m.place FROM f JOIN n i ON i.name = f.impact JOIN c ON c.id = f.id JOIN n m ON m.name = c.most WHERE m.place < i.place),
+g AS (SELECT id, min(place) AS place, string_agg(cap, ',' ORDER BY k) AS capped_by FROM l GROUP BY id)
+SELECT f.id, CASE WHEN f.reachability IN ({REACH}) THEN coalesce((SELECT name FROM n WHERE n.place = g.place), f.impact) END AS severity, coalesce(g.capped_by, '') AS capped_by FROM f LEFT JOIN g ON f.id = g.id""")
 def severity_caps(spark, sf_dir):
     C.table(spark, sf_dir, "documents").createOrReplaceTempView("tessera_documents")
     return review.severity(spark.sql(FINDINGS + "tessera_documents"))
 
 
-HISTORY = "SELECT user_id AS id, CAST(event_id % 6 AS INT) AS version, min(event_id) % 2 = 0 AS present FROM {t} GROUP BY user_id, CAST(event_id % 6 AS INT)"
+HISTORY = "SELECT user_id AS id, CAST(event_id % 6 AS INT) AS version, min(event_id) % 2 = 0 AS present, min(event_id) % 3 = 0 AS declined FROM {t} GROUP BY user_id, CAST(event_id % 6 AS INT)"
 
 
 @query(f"""WITH h AS ({HISTORY.format(t='events')}), w AS (SELECT *, lag(present) OVER (PARTITION BY id ORDER BY version) AS p, coalesce(max(present::INT) OVER (PARTITION BY id ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ever FROM h)
-SELECT id, version, CASE WHEN present AND NOT coalesce(p, true) AND ever = 1 THEN 'regressed' WHEN present THEN 'open' WHEN ever = 1 THEN 'fixed' ELSE 'absent' END AS state FROM w""")
+SELECT id, version, CASE WHEN present AND NOT coalesce(p, true) AND ever = 1 THEN 'regressed' WHEN present AND declined THEN 'wont-fix' WHEN present THEN 'open' WHEN ever = 1 THEN 'fixed' ELSE 'absent' END AS state FROM w""")
 def lifecycle_lag(spark, sf_dir):
     C.table(spark, sf_dir, "events").createOrReplaceTempView("tessera_events")
     return review.lifecycle(spark.sql(HISTORY.format(t="tessera_events")))
 
 
+CLOSED = "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN doc_id + 1000000 END AS residue_id FROM {t}"
+
+
+@query(f"WITH c AS ({CLOSED.format(t='documents')}) SELECT id, 'fixed' AS status, NULL::BIGINT AS derived_from FROM c UNION ALL SELECT residue_id, 'open', id FROM c WHERE residue_id IS NOT NULL")
+def partial_fixes(spark, sf_dir):
+    C.table(spark, sf_dir, "documents").createOrReplaceTempView("tessera_documents")
+    return review.residues(spark.sql(CLOSED.format(t="tessera_documents")))
+
+
 GRANTS = "('a', 'write', 'x'), ('b', 'load', 'x/y/z.md'), ('c', 'load', 'xy/z.md'), ('a', 'load', 'x/own.md'), ('d', 'write', 'x/y'), ('e', 'write', 'x/y/z.md/q')"
 
 
@@ -348,3 +422,12 @@ def _structure(rule: str):
 
 for _rule in R.structural():
     QUERIES[_rule.id.replace(".", "_")] = (lambda f: lambda spark, sf_dir: f(ship(spark), sf_dir))(_structure(_rule.id))
+
+
+def agentic_hits(spark, sf_dir):
+    """All 21 agentic rules over documents, pages and conversations as files; their dialect is Java's, so no DuckDB form."""
+    files = C.documents(spark, sf_dir).unionByName(C.pages(spark, sf_dir)).unionByName(C.conversations(spark, sf_dir))
+    return sweep.pattern_hits(files, R.agentic()).select(*sweep.LEDGER)
+
+
+QUERIES["agentic_hits"] = lambda spark, sf_dir: agentic_hits(ship(spark), sf_dir)

@@ -50,3 +50,45 @@ def test_command_line(spark, tmp_path):
     assert set(json.loads((folder / "run.json").read_text())) == {"sweep", "surfaces", "structure", "closure", "recon"}
     assert oct(os.stat(folder).st_mode)[-3:] == "700"
     assert cli.main(["sweep", str(target), "--workspace", str(target)]) == 2
+
+
+def test_partial_reviews_and_entries(spark, tmp_path, capsys):
+    target = tmp_path / "t"
+    target.mkdir()
+    (target / "SKILL.md").write_text("see run.py\n")
+    (target / "run.py").write_text("import os\nopen('gone.cfg')\n")
+    (target / "tool.rb").write_text("puts 1\n")
+    run = lambda *a: cli.main([a[0], str(target), "--workspace", str(tmp_path / "w"), *a[1:]])
+    folder = tmp_path / "w" / "t" / "unversioned"
+    assert run("closure") == 0
+    said = json.loads((folder / "closure.json").read_text())
+    assert {m["path"]: (m["kind"], m["lines"]) for m in said["members"]} == {"SKILL.md": ("data", 1), "run.py": ("source", 2)}
+    assert said["unreachable"] == ["tool.rb"] and any("tool.rb" in g for g in said["coverage_gaps"])
+    out = capsys.readouterr().out
+    assert "closure.missing_reference: 1" in out and "gap: " in out
+    row = json.loads((folder / "hits.jsonl").read_text())
+    assert (row["layer"], row["file"], row["line"], row["match_excerpt"]) == ("code", "run.py", 2, "open('gone.cfg')")
+    # an entry that is absent is a candidate, one outside is the caller's fault
+    assert run("closure", "--entry", "nowhere.md", "--entry", "tool.rb") == 0
+    row = json.loads((folder / "hits.jsonl").read_text())
+    assert (row["file"], row["line"], row["match_excerpt"], row["rule_id"]) == ("nowhere.md", 0, "nowhere.md", "closure.missing_reference")
+    assert run("closure", "--entry", "../x") == 2 and run("closure", "--entry", "/etc/passwd") == 2
+    # what was fixed leaves the ledger
+    (target / "run.py").write_text("import os\n")
+    assert run("closure") == 0 and (folder / "hits.jsonl").read_text() == ""
+    # a manifest that can't be understood, and a binary of no known kind, make a review partial; a database doesn't
+    (target / "data.sqlite").write_bytes(bytes(100))
+    assert run("recon") == 0
+    (target / "package.json").write_text("{")
+    assert run("recon") == 2 and json.loads((folder / "recon.json").read_text())["manifests_unreadable"][0]["path"] == "package.json"
+    assert "package.json" in capsys.readouterr().err
+
+
+def test_capped_and_followed(spark):
+    from tessera.operators import review
+
+    rows = [("a", "critical", "network", None, False, True), ("b", "critical", "mcp-tool", "instruction", True, False), ("c", "high", "cli-only", "poc", False, False), ("d", "high", "cli-only", "poc", False, True), ("e", "high", "unreachable", "poc", False, True), ("f", "low", "remote", "poc", False, True)]
+    found = review.severity(spark.createDataFrame(rows, "id string, impact string, reachability string, evidence_type string, dangerous boolean, crosses_boundary boolean"))
+    assert {r["id"]: (r["severity"], r["capped_by"]) for r in found.collect()} == {"a": ("observation", "no proof"), "b": ("critical", ""), "c": ("medium", "cli-only"), "d": ("high", ""), "e": ("informational", "unreachable"), "f": (None, "")}
+    gone = spark.createDataFrame([("a", "still-vulnerable", True, 1), ("b", "inconclusive", True, 1), ("c", None, False, 2), ("d", None, False, 0)], "id string, poc string, anchor boolean, widened int")
+    assert {r["id"]: r["step"] for r in review.follow_up(gone).collect()} == {"a": "poc", "b": "anchor", "c": "sweep", "d": "manual"}

@@ -61,11 +61,14 @@ def test_recon(spark, tree):
 def test_ledger(spark, tree, tmp_path):
     inventory = filesystem.walk(spark, tree)
     hits = sweep.pattern_hits(sweep.readable(inventory), R.agentic())
-    review.write_ledger(hits, str(tmp_path / "l"))
-    review.write_ledger(hits.withColumn("source", F.lit("surface")).limit(1), str(tmp_path / "l"))
+    review.write_ledger(hits, str(tmp_path / "l"), "pattern")
+    review.write_ledger(hits.withColumn("source", F.lit("surface")).limit(1), str(tmp_path / "l"), "surface")
     back = spark.read.parquet(str(tmp_path / "l"))
     assert back.filter("source = 'pattern'").count() == hits.count() and back.filter("source = 'surface'").count() == 1
     assert review.foreign(back).isEmpty()
+    review.write_ledger(hits.limit(0), str(tmp_path / "l"), "pattern")
+    assert {r["source"] for r in spark.read.parquet(str(tmp_path / "l")).select("source").collect()} == {"surface"}
+    assert spark.range(1).select(review.version_key(F.lit("2026.9")) < review.version_key(F.lit("2026.10"))).first()[0]
     assert review.to_jsonl(hits, str(tmp_path / "l.jsonl")) == hits.count()
     with pytest.raises(ValueError):
         review.replace_block(back, "other", hits)
