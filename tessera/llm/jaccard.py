@@ -138,8 +138,9 @@ def below(path, sketch, levels: int = 2):
 def meetings(sets: DataFrame, block: int = 512, levels: int = 12) -> DataFrame:
     """Edges (a, b) that join sets which meet in a tree node and whose sketches agree.
 
-    Of a node's pairs only what joins them is kept, not each pair. A node with more than `block` sets is compared
-    in pairs of blocks, each in a task of its own; that is where splitting doesn't part its sets, or after `levels` levels.
+    Of a node's pairs only what joins them is kept, not each pair. Of a node with more than `block` sets, where splitting
+    doesn't part them or after `levels` levels, each is held against the least one, and those that don't agree with it
+    against all, in pairs of blocks with a task of their own.
     """
     level = sets.select("node", F.posexplode("second").alias("pos", "path")).withColumn("up", F.lit(None).cast("long"))
     done, depth = [], 2
@@ -161,13 +162,37 @@ def meetings(sets: DataFrame, block: int = 512, levels: int = 12) -> DataFrame:
     tried = done[0]
     for more in done[1:]:
         tried = tried.unionByName(more)
-    cuts = F.ceil(F.col("n") / block).cast("int")
-    spot = F.pmod(F.xxhash64("node", F.lit(2)), cuts).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), cuts - 1), lambda k: F.struct(F.least(k, spot).alias("lo"), F.greatest(k, spot).alias("hi")))
-    # small nodes share a bin, and so a call; each pair of blocks of a large one has a bin of its own
-    whole = tried.filter(F.col("n") <= block).select("node", "path", F.pmod(F.xxhash64("path"), F.lit(bins)).alias("bin"))
-    parts = tried.filter(F.col("n") > block).select("node", "path", F.explode(pairs).alias("pair")).select("node", F.xxhash64("path", "pair.lo", "pair.hi").alias("path"), F.xxhash64("path", "pair.lo", "pair.hi", F.lit(1)).alias("bin"))
-    tried = whole.unionByName(parts).join(sets.select("node", "sketch"), "node")
+    # small nodes share a bin, and so a call
+    whole = tried.filter(F.col("n") <= block).select("node", "path", F.pmod(F.xxhash64("path"), F.lit(bins)).alias("bin")).join(sets.select("node", "sketch"), "node")
+    large = tried.filter(F.col("n") > block).select("node", "path", "n").join(sets.select("node", "sketch"), "node")
+    pivot = large.groupBy("path").agg(F.min(F.struct("node", "sketch")).alias("least"))
+    same = F.size(F.filter(F.sequence(F.lit(1), F.lit(TOKENS)), lambda i: F.substring("sketch", i, F.lit(1)) == F.substring("least.sketch", i, F.lit(1)))) >= AGREE
+    large = cut(large.join(pivot, "path").select("node", "path", "n", "sketch", F.col("least.node").alias("b"), (~same).alias("other")))
+    stars = large.filter("not other").select(F.col("node").alias("a"), "b")
+    others = large.filter("other").groupBy("path").agg(F.count("*").alias("m"))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    spot = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), blocks(n)).cast("int")
+    kept = large.join(others, "path")
+    ours = kept.filter("other").withColumn("row", spot("m", 3)).withColumn("column", F.explode(F.sequence(F.lit(0), blocks("n") - 1))).withColumn("asks", F.lit(True))
+    all_of = kept.withColumn("column", spot("n", 2)).withColumn("row", F.explode(F.sequence(F.lit(0), blocks("m") - 1))).withColumn("asks", F.lit(False))
+    pairs = ours.unionByName(all_of).select("node", "sketch", "other", "asks", F.xxhash64("path", "row", "column").alias("bin"))
+
+    def apart(part: pa.Table) -> pa.Table:
+        node, other, asks = (part.column(n).to_numpy() for n in ("node", "other", "asks"))
+        sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
+        mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        loose = other[theirs]
+        i, j = [], []
+        for k in mine.tolist():
+            close = (sketch[theirs] == sketch[k]).sum(1) >= AGREE
+            tied = theirs[close & ~loose][:1]  # all of these are joined with the least one already
+            hit = np.concatenate([tied, theirs[close & loose]])
+            i.append(np.full(len(hit), k))
+            j.append(hit)
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        root = roots(len(node), cat(i), cat(j))
+        moved = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"a": pa.array(node[moved], pa.int64()), "b": pa.array(node[root[moved]], pa.int64())})
 
     def near(part: pa.Table) -> pa.Table:
         order = np.argsort(path := part.column("path").to_numpy(), kind="stable")
@@ -187,7 +212,8 @@ def meetings(sets: DataFrame, block: int = 512, levels: int = 12) -> DataFrame:
                 b.append(node[lo : lo + n][root[other]])
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
-    return tried.groupBy("bin").applyInArrow(near, "a long, b long").filter("a <> b").distinct()
+    close = whole.groupBy("bin").applyInArrow(near, "a long, b long").unionByName(stars).unionByName(pairs.groupBy("bin").applyInArrow(apart, "a long, b long"))
+    return close.filter("a <> b").distinct()
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, neardup, packing
+from tessera.llm import graph, jaccard, neardup, packing
 
 
 def _links(sets, similarity=0.8):
@@ -32,8 +32,10 @@ def test_jaccard_recall_and_hot_tokens(spark):
     assert sum(got.values()) <= sum(want.values())
     assert sum(got.values()) >= 0.999 * sum(want.values()) > 500
     small = jaccard.walk(frame.withColumn("row", F.lit(None).cast("long")), jaccard.trees_for(0.8, 0.9999))
-    edges = jaccard.meetings(small.select("node", "second", "fourth", "sketch"), block=64)
-    assert edges.count() > 0
+    # nodes over the block size: the same sets are joined as where all fit one block
+    sets = jaccard.cut(small.select("node", "second", "fourth", "sketch"))
+    joined = [{(r["node"], r["label"]) for r in graph.components(jaccard.meetings(sets, block=b)).collect()} for b in (16, 4096)]
+    assert joined[0] == joined[1] and len(joined[0]) > 500
 
 
 def test_jaccard_clashing_columns_and_nulls(spark):
