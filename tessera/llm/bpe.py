@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import grouped
 from .wordtable import Block, chunks, encoder, resolved
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
@@ -28,7 +29,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             said.append(b"".join([pieces[i] for i in own.tolist()]).decode("utf-8", "replace"))
         return pa.table({"doc_id": pa.array(block.doc_ids, mask=~block.known), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(said, pa.string())})
 
-    return resolved(docs, chunks, path).groupBy("block").applyInArrow(join, "doc_id long, ids array<int>, decoded string")
+    return resolved(docs, chunks, path).groupBy("block").applyInArrow(grouped(join), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -56,4 +57,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 column.append(value)
         return pa.table({"doc_id": pa.array(block.doc_ids, mask=~block.known), "n_tokens": pa.array(out[0], pa.int64()), "ids_sha256": pa.array(out[1], pa.string()), "decoded_sha256": pa.array(out[2], pa.string()), "n_bytes": pa.array(out[3], pa.int64())})
 
-    return resolved(docs, chunks, path).groupBy("block").applyInArrow(join, DIGESTS)
+    return resolved(docs, chunks, path).groupBy("block").applyInArrow(grouped(join), DIGESTS)

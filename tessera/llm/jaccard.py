@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import column_ids, mix, slices
+from .common import column_ids, grouped, mapped, mix, slices
 from .graph import components
 
 TOKENS = 64
@@ -124,7 +124,7 @@ def walk(docs: DataFrame, trees: int) -> DataFrame:
                 lists.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(part.view(np.int64).ravel())))
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), table.column("row").combine_chunks(), table.column("said").combine_chunks(), pa.array(nodes, mask=~some), *lists, pa.array(sketches, pa.binary())], ["doc_id", "row", "said", "node", "second", "fourth", "sketch"])
 
-    return docs.withColumn("said", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, said long, node long, second array<long>, fourth array<long>, sketch binary")
+    return docs.withColumn("said", F.xxhash64("text")).mapInArrow(mapped(run), "doc_id long, row long, said long, node long, second array<long>, fourth array<long>, sketch binary")
 
 
 def below(path, sketch, levels: int = 2):
@@ -331,7 +331,7 @@ def _classes(docs: DataFrame, row: str | None, similarity: float, recall: float,
     # small groups share a bin, so that a call has work; each pair of blocks of a large one has a bin of its own
     bins = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     binned = dealt.withColumn("bin", F.when((F.col("lo") == 0) & (F.col("hi") == 0), F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.xxhash64("label", "lo", "hi")))
-    checked = cut(binned.groupBy("bin").applyInArrow(verify, "node long, root long, links long").filter("links > 0"))
+    checked = cut(binned.groupBy("bin").applyInArrow(grouped(verify), "node long, root long, links long").filter("links > 0"))
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     final = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = sets.select("node", "least", "n").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import grouped, trim
 from .wordtable import Block, chunks, resolved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long, alone long"
@@ -40,7 +41,7 @@ def pieces(docs: DataFrame, path: str, most: int = 1024, end: int = 2) -> DataFr
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "piece", "start", "length", "ids_crc32", "uid", "alone"), out, kinds, strict=True)})
 
-    return resolved(docs, chunks, path).groupBy("block").applyInArrow(join, PIECES)
+    return resolved(docs, chunks, path).groupBy("block").applyInArrow(grouped(join), PIECES)
 
 
 def pack(items: DataFrame, most: int = 1024, group: int = 16_384, rounds: int = 4, spread: int | None = None) -> DataFrame:
@@ -62,6 +63,7 @@ def pack(items: DataFrame, most: int = 1024, group: int = 16_384, rounds: int =
             lengths = table.column("length").to_numpy()
             place, offset, fill = fit(lengths, most, rounds)
             done = np.ones(len(lengths), bool) if last else fill[place] >= most - most // 64
+            trim()
             number = (np.int64(level) << 58) + (np.int64(key[0].as_py()) << 24) + place
             columns = [table.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32", "uid")]
             return pa.table([*columns, pa.array(number, pa.int64(), mask=~done), pa.array(offset.astype(np.int64))], names=["doc_id", "piece", "start", "length", "ids_crc32", "uid", "sequence_id", "offset"])

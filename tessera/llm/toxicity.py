@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_ids, drawn, remainder, slices
+from .common import column_ids, drawn, mapped, remainder, slices
 
 BITS = 18
 _EDGE = ".,;:!?\"'()[]{}*_~#|<>«»“”„¡¿-"
@@ -252,7 +252,7 @@ def tag(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
                 spans.append(_spans(text, mine >= at_least) if len(mine) and mine.max() >= at_least else [])
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], ["doc_id", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(mapped(run), schema)
 
 
 def clean(docs: DataFrame, model: dict, below: float = 0.5) -> DataFrame:
@@ -264,7 +264,7 @@ def clean(docs: DataFrame, model: dict, below: float = 0.5) -> DataFrame:
         for table in slices(batches, "text"):
             yield from table.filter(pa.array(score([x or "" for x in table.column("text").to_pylist()])[0] < below)).to_batches()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(mapped(run), docs.schema)
 
 
 def _spans(text: str, toxic: np.ndarray) -> list[dict]:

@@ -10,6 +10,7 @@ one block, or the distinct words of its buckets.
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 import re
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_ids, pack, slices, unpack
+from .common import column_ids, mapped, pack, slices, unpack
 
 #: Unicode's White_Space, as the pre-tokenizer's \s has it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -160,7 +161,7 @@ def deal(docs: DataFrame, split: Callable, buckets: int, weight: str | None = No
             payloads.append(pack(ids, known.astype(np.uint8), marks.astype(np.uint8), offsets.astype(np.uint32), np.array([several], np.uint32), *halves(np.minimum(slot[codes], several))))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(kinds, pa.int32()), pa.array(payloads, pa.binary())], ["part", "block", "kind", "payload"])
 
-    return docs.mapInArrow(run, ROWS).repartition(buckets, "part")
+    return docs.mapInArrow(mapped(run), ROWS).repartition(buckets, "part")
 
 
 def halves(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +188,7 @@ def answer(rows: DataFrame, path: str | None, counted: bool, before: str = "") -
         if len(pieces) > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         number: dict[bytes, int] = {}
-        ids: list[np.ndarray] = []
+        ids: list[bytes] = []  # of each word, 16 bits an id: an array for each would take three times as much
         totals = np.zeros(1024, np.int64)
 
         def words(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,7 +202,7 @@ def answer(rows: DataFrame, path: str | None, counted: bool, before: str = "") -
                 if (k := number.get(word)) is None:
                     k = number[word] = len(number)
                     if encode:
-                        ids.append(np.array(encode(before + word.decode()), np.uint16))
+                        ids.append(array.array("H", encode(before + word.decode())).tobytes())
                 mine.append(k)
             if len(number) > len(totals):
                 totals = np.concatenate([totals, np.zeros(len(number), np.int64)])
@@ -209,7 +210,8 @@ def answer(rows: DataFrame, path: str | None, counted: bool, before: str = "") -
 
         def reply(slots: np.ndarray, mine: np.ndarray) -> bytes:
             own = [ids[k] for k in mine.tolist()] if encode else []
-            return pack(slots, totals[mine] if counted else np.zeros(0, np.int64), np.fromiter(map(len, own), np.uint32, len(own)), np.concatenate(own) if own else np.zeros(0, np.uint16))
+            sizes = np.fromiter(map(len, own), np.int64, len(own)) // 2
+            return pack(slots, totals[mine] if counted else np.zeros(0, np.int64), sizes.astype(np.uint32), np.frombuffer(b"".join(own), np.uint16))
 
         held = []
         for batch in batches:
@@ -230,14 +232,14 @@ def answer(rows: DataFrame, path: str | None, counted: bool, before: str = "") -
             yield _rows([[part], [block], [0], [reply(slots, mine.astype(np.int64))]])
         if counted:
             own = totals[: len(number)]
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
-            each = np.repeat(own, [len(x) for x in ids]) if ids else np.zeros(0)
+            flat = np.frombuffer(b"".join(ids), np.uint16)
+            each = np.repeat(own, [len(x) // 2 for x in ids]) if ids else np.zeros(0)
             by_id = np.bincount(flat, each).astype(np.int64)
             from pyspark import TaskContext
 
             yield _rows([[TaskContext.get().partitionId()], [-1], [2], [pack(np.array([(own > 0).sum(), own.sum()], np.int64), by_id)]])
 
-    return rows.mapInArrow(run, ROWS)
+    return rows.mapInArrow(mapped(run), ROWS)
 
 
 def _rows(columns: list[list]) -> pa.RecordBatch:
