@@ -10,6 +10,9 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, where the caller names none: texts are long, and both sides hold batches
+#: outside the heap.
+BATCH, DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -29,6 +32,8 @@ def ship(spark: SparkSession) -> SparkSession:
             f.write(blob.getvalue())
         sc.addPyFile(target)
         _shipped.add(sc.applicationId)
+        if not sc.getConf().contains(BATCH) and spark.conf.get(BATCH) == DEFAULT:
+            spark.conf.set(BATCH, str(BATCH_BYTES))
     return spark
 
 
