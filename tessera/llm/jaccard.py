@@ -27,6 +27,8 @@ from .graph import components
 TOKENS = 64
 #: Nodes of more than SMALL sets are split while that parts them: a node below one keeps less than SHRINK of it.
 SMALL, SHRINK = 64, 0.5
+#: A node of which this share agrees with its least set holds close copies: splitting it would only repeat them in each child.
+COPIES = 0.9
 #: Of TOKENS bytes of two sketches, so many agree at least where sets are tried: 51 are expected at a similarity of 0.8,
 #: with a deviation of 3.2.
 AGREE = 34
@@ -139,17 +141,29 @@ def meetings(sets: DataFrame, block: int = 512, levels: int = 12) -> DataFrame:
     """Edges (a, b) that join sets which meet in a tree node and whose sketches agree.
 
     Of a node's pairs only what joins them is kept, not each pair. Of a node with more than `block` sets, where splitting
-    doesn't part them or after `levels` levels, each is held against the least one, and those that don't agree with it
-    against all, in pairs of blocks with a task of their own.
+    doesn't part them, nearly all are close copies, or after `levels` levels, each is held against the least one, and
+    those that don't agree with it against all, in pairs of blocks with a task of their own.
     """
+    agrees = F.size(F.filter(F.sequence(F.lit(1), F.lit(TOKENS)), lambda i: F.substring("sketch", i, F.lit(1)) == F.substring("first", i, F.lit(1)))) >= AGREE
+
+    def against(rows: DataFrame) -> DataFrame:
+        """rows with their sketch and other: whether they don't agree with the least set of their node."""
+        firsts = rows.select("b").distinct().join(sets.select(F.col("node").alias("b"), F.col("sketch").alias("first")), "b")
+        return rows.join(sets.select("node", "sketch"), "node").join(firsts, "b").withColumn("other", ~agrees).drop("first")
+
     level = sets.select("node", F.posexplode("second").alias("pos", "path")).withColumn("up", F.lit(None).cast("long"))
     done, depth = [], 2
     while True:
-        sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.first("up").alias("up")).filter("n > 1")
+        sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("b"), F.first("up").alias("up")).filter("n > 1")
         ready = (F.col("n") <= SMALL) | F.coalesce(F.col("n") > SHRINK * F.col("up"), F.lit(False)) | F.lit(depth >= levels)
-        met = cut(level.drop("up").join(sizes.select("path", "n", ready.alias("ready")), "path"))
-        done.append(met.filter("ready").select("node", "path", "n"))
+        met = cut(level.drop("up").join(sizes.select("path", "n", "b", ready.alias("ready")), "path"))
+        done.append(met.filter("ready").select("node", "path", "n", "b"))
         deep = met.filter("not ready")
+        if deep.isEmpty():
+            break
+        copies = cut(against(deep).groupBy("path").agg(F.avg((~F.col("other")).cast("int")).alias("share")).filter(F.col("share") >= COPIES).select("path"))
+        done.append(deep.join(copies, "path", "left_semi").select("node", "path", "n", "b"))
+        deep = deep.join(copies, "path", "left_anti")
         if deep.isEmpty():
             break
         if depth == 2:  # a node at place i of the second level has places 4i to 4i+3 of the fourth below it
@@ -164,10 +178,7 @@ def meetings(sets: DataFrame, block: int = 512, levels: int = 12) -> DataFrame:
         tried = tried.unionByName(more)
     # small nodes share a bin, and so a call
     whole = tried.filter(F.col("n") <= block).select("node", "path", F.pmod(F.xxhash64("path"), F.lit(bins)).alias("bin")).join(sets.select("node", "sketch"), "node")
-    large = tried.filter(F.col("n") > block).select("node", "path", "n").join(sets.select("node", "sketch"), "node")
-    pivot = large.groupBy("path").agg(F.min(F.struct("node", "sketch")).alias("least"))
-    same = F.size(F.filter(F.sequence(F.lit(1), F.lit(TOKENS)), lambda i: F.substring("sketch", i, F.lit(1)) == F.substring("least.sketch", i, F.lit(1)))) >= AGREE
-    large = cut(large.join(pivot, "path").select("node", "path", "n", "sketch", F.col("least.node").alias("b"), (~same).alias("other")))
+    large = cut(against(tried.filter(F.col("n") > block)))
     stars = large.filter("not other").select(F.col("node").alias("a"), "b")
     others = large.filter("other").groupBy("path").agg(F.count("*").alias("m"))
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
