@@ -149,7 +149,10 @@ def meetings(sets: DataFrame, block: int = 512, levels: int = 12) -> DataFrame:
     def against(rows: DataFrame) -> DataFrame:
         """rows with their sketch and other: whether they don't agree with the least set of their node."""
         firsts = rows.select("b").distinct().join(sets.select(F.col("node").alias("b"), F.col("sketch").alias("first")), "b")
-        return rows.join(sets.select("node", "sketch"), "node").join(firsts, "b").withColumn("other", ~agrees).drop("first")
+        # many rows may have one first set: they are spread, and it is repeated (nodes here have more than SMALL sets)
+        firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SMALL // 2 - 1))))
+        salted = rows.join(sets.select("node", "sketch"), "node").withColumn("salt", F.pmod(F.xxhash64("node", "path"), F.lit(SMALL // 2)).cast("int"))
+        return salted.join(firsts, ["b", "salt"]).withColumn("other", ~agrees).drop("first", "salt")
 
     level = sets.select("node", F.posexplode("second").alias("pos", "path")).withColumn("up", F.lit(None).cast("long"))
     done, depth = [], 2
