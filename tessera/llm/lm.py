@@ -1,10 +1,10 @@
 """Language-model scores from a causal self-attention model over subword ids (operator 1).
 
 A text's score is the sum over its ids of the logarithm of what one layer of causal self-attention gives them: a
-softmax over classes of ids, then one over the ids of the class. The model is trained in numpy: first on a sample on
-the driver, then on windows of every part of the training rows, whose models are averaged, so that what it has learnt
-from grows with the corpus. Which ids have a place of their own, how often each occurs and what the other ids share is
-counted over all training rows.
+softmax over classes of ids, then one over the ids of the class. The model is trained in numpy on every window of every
+training row: it starts from a few texts on the driver, then each part of the training rows goes through all of its
+windows, and the parts' models are averaged by their windows. Which ids have a place of their own, how often each occurs,
+what stands beside each (which gives the classes) and what the other ids share is counted over all training rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import drawn, pack, remainder, slices
+from .common import drawn, grouped, mapped, pack, remainder, slices, texts_of
 from .wordtable import Block, encoder, lower_words, resolved, unpack
 
 END = 50256
@@ -164,13 +164,19 @@ class Model:
         g["E"][sorted_rows[edge]] = np.add.reduceat(_flat(de)[order], edge, 0)
         return float(loss) / n, g
 
-    def learn(self, given: np.ndarray, goal: np.ndarray, steps: int, batch: int, seed: int, top: float = 2.5e-2, decay: float = 0.1) -> list[float]:
-        """Adam with a rate that rises to `top` and falls, over random windows; the weights of single ids decay."""
+    def learn(self, given: np.ndarray, goal: np.ndarray, steps: int, batch: int, seed: int, top: float = 2.5e-2, decay: float = 0.1, whole: bool = False) -> list[float]:
+        """Adam with a rate that rises to `top` and falls, over random windows; the weights of single ids decay.
+
+        With whole, windows are gone through in random order, and as many steps made as that takes, `steps` at least.
+        """
         rng = np.random.default_rng(seed)
+        if whole:
+            steps = max(steps, -(-len(given) // batch))
+            order = np.concatenate([rng.permutation(len(given)) for _ in range(-(-steps * batch // len(given)))])
         m, s = ({n: np.zeros_like(x) for n, x in self.p.items()} for _ in range(2))
         losses = []
         for t in range(1, steps + 1):
-            pick = rng.integers(0, len(given), batch)
+            pick = order[(t - 1) * batch : t * batch] if whole else rng.integers(0, len(given), batch)
             loss, g = self.step(given[pick], goal[pick])
             rate = top * min(1, 20 * t / steps) * (1 - t / (steps + 1)) ** 0.7 + 1e-5
             for n, x in self.p.items():
@@ -235,32 +241,40 @@ class Model:
         return out / np.log(10.0)
 
 
-def classify(ids: np.ndarray, size: int, count: int, known: np.ndarray, seed: int, most: int = 32) -> np.ndarray:
-    """A class of each known id by what stands before and after it: k-means over random projections of the neighbours.
+def beside(ids: np.ndarray, known: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
+    """What stands before and after each known id in ids, as sums of random projections of the neighbours, rare ones more.
 
-    An id that ids doesn't hold is put with the others like it. Classes of more than `most` ids are cut by falling
-    frequency, so that frequent ids lie in small classes; no class is empty.
+    counts are those of all texts, so that the sums of parts add up to that of the whole.
     """
-    rng = np.random.default_rng(seed)
-    proj = rng.standard_normal((2, size, 24)).astype(np.float32)
+    size = len(counts)
+    proj = np.random.default_rng(seed).standard_normal((2, size, 24)).astype(np.float32)
+    proj /= np.sqrt(counts + 1e-5 * counts.sum() + 1).astype(np.float32)[:, None]
     row = np.full(size, -1)
     row[known] = np.arange(len(known))
-    freq = np.bincount(ids, minlength=size).astype(np.float32)
-    weight = (1 / np.sqrt(freq + 50)).astype(np.float32)
-    x = np.zeros((len(known), 48), np.float32)
-    for side, (own, other) in enumerate(((ids[1:], ids[:-1]), (ids[:-1], ids[1:]))):
-        keep = row[own] >= 0
-        pair, n = np.unique(row[own[keep]] * np.int64(size) + other[keep], return_counts=True)
-        a, b = pair // size, pair % size
-        for lo in range(0, len(pair), 200_000):
-            s = slice(lo, lo + 200_000)
-            edge = np.flatnonzero(np.diff(a[s], prepend=-1))
-            x[a[s][edge], 24 * side : 24 * side + 24] += np.add.reduceat(proj[side][b[s]] * (np.sqrt(n[s]) * weight[b[s]])[:, None].astype(np.float32), edge, 0)
-    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-6
-    near = _means(x, np.sqrt(freq[known] + 0.1), count, rng)
-    order = np.lexsort((-freq[known], near))
-    place = np.empty(len(known), np.int64)
-    place[order] = np.arange(len(known)) - np.searchsorted(near[order], near[order])
+    pair, n = np.unique(ids[:-1].astype(np.int64) * size + ids[1:], return_counts=True)
+    x = np.zeros((len(known), 48))
+    for side, (own, other) in enumerate(((pair % size, pair // size), (pair // size, pair % size))):
+        keep = np.flatnonzero(row[own] >= 0)
+        keep = keep[np.argsort(row[own[keep]], kind="stable")]
+        for lo in range(0, len(keep), 200_000):
+            s = keep[lo : lo + 200_000]
+            edge = np.flatnonzero(np.diff(row[own[s]], prepend=-1))
+            x[row[own[s]][edge], 24 * side : 24 * side + 24] += np.add.reduceat(proj[side][other[s]] * n[s].astype(np.float32)[:, None], edge, 0)
+    return x
+
+
+def classify(near: np.ndarray, freq: np.ndarray, count: int, seed: int, most: int = 32) -> np.ndarray:
+    """A class of each known id by what stands before and after it (beside): k-means over it.
+
+    freq: how often each occurs. An id without neighbours is put with the others like it. Classes of more than `most` ids
+    are cut by falling frequency, so that frequent ids lie in small classes; no class is empty.
+    """
+    rng = np.random.default_rng(seed)
+    x = (near / (np.linalg.norm(near, axis=1, keepdims=True) + 1e-6)).astype(np.float32)
+    near = _means(x, np.sqrt(freq + 0.1), count, rng)
+    order = np.lexsort((-freq, near))
+    place = np.empty(len(freq), np.int64)
+    place[order] = np.arange(len(freq)) - np.searchsorted(near[order], near[order])
     # bands that double: the rarest ids of a class lie in a large one that few texts ask for
     band = np.floor(np.log2(place / most + 1)).astype(np.int64)
     return np.unique(near * 64 + band, return_inverse=True)[1]
@@ -276,12 +290,20 @@ def _means(x: np.ndarray, mass: np.ndarray, count: int, rng: np.random.Generator
     return near
 
 
-def train(docs: list[np.ndarray], counts: np.ndarray, classes: int = 16, own_rows: int = 4096, steps: int = 1200, batch: int = 64, seed: int = 11) -> Model:
-    """A model from sequences of ids, each with its end, and counts of all ids over the whole training part."""
+def kept(counts: np.ndarray, own_rows: int = 4096) -> np.ndarray:
+    """The ids with a place of their own: the most frequent ones."""
+    return np.argsort(-counts, kind="stable")[: max(1, min(own_rows, int((counts > 0).sum())))]
+
+
+def train(docs: list[np.ndarray], counts: np.ndarray, classes: int = 16, own_rows: int = 4096, steps: int = 1200, batch: int = 64, seed: int = 11, near: np.ndarray | None = None) -> Model:
+    """A model from sequences of ids, each with its end, and counts of all ids over the whole training part.
+
+    near: what stands beside each known id (beside) in the whole training part; where it isn't given, docs are that part.
+    """
     ids = np.concatenate(docs).astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    known = np.argsort(-counts, kind="stable")[: max(1, min(own_rows, int((counts > 0).sum())))]
-    model = Model(counts, known, classify(ids, len(counts), classes, known, seed), seed)
+    known = kept(counts, own_rows)
+    model = Model(counts, known, classify(beside(ids, known, counts, seed) if near is None else near, counts[known], classes, seed), seed)
     model.losses = model.learn(*windows(ids, bounds), steps, batch, seed)
     return model
 
@@ -290,12 +312,51 @@ def _encoded(text: str, encode) -> np.ndarray:
     return np.array(encode("".join(" " + w.decode() for w in text.encode().lower().split())) + [END])
 
 
-def refine(docs: DataFrame, path: str, model: Model, seed: int, steps: int, batch: int, stretch: int = 1000, draws: int = 48, part_bytes: int = 8_000_000, top: float = 4e-3) -> None:
-    """Trains the model further on every part of docs (text), some `part_bytes` of text each, and averages what comes out.
+def parts(batches: Iterator[pa.RecordBatch], path: str, part_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of all texts of the batches, each with its end, and their bounds: some `part_bytes` of text at once.
 
-    Of each part `draws` stretches of `stretch` words are drawn, a text in proportion to its length and from any place in
-    it, and `steps` steps made over their windows from the same start. Parts count alike; their sums are added up in
-    groups. An empty table changes nothing.
+    Each distinct word of a part is encoded once.
+    """
+    encode = encoder(path)[0]
+    for table in slices(batches, "text", part_bytes):
+        codes, words, offsets = lower_words(texts_of(table, "text"))
+        each = [encode(" " + w) for w in words.to_pylist()] + [[END]]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        flat = np.fromiter((k for x in each for k in x), np.int32, int(sizes.sum()))
+        codes = np.insert(codes, offsets[1:], len(each) - 1)
+        own = sizes[codes]
+        first = (np.cumsum(sizes) - sizes)[codes] - (np.cumsum(own) - own)
+        ids = flat[np.repeat(first, own) + np.arange(int(own.sum()))]
+        yield ids, np.append(0, np.cumsum(own))[np.append(0, offsets[1:] + np.arange(1, len(offsets)))]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text"))
+
+
+def surroundings(docs: DataFrame, path: str, known: np.ndarray, counts: np.ndarray, seed: int, part_bytes: int = 4_000_000) -> np.ndarray:
+    """beside() over all texts of docs (text)."""
+    bound = docs.sparkSession.sparkContext.broadcast((known, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros((len(bound.value[0]), 48))
+        for ids, _ in parts(batches, path, part_bytes):
+            total += beside(np.append(END, ids), *bound.value, seed)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pack(total.ravel())], pa.binary())], ["part", "payload"])
+
+    sums = added(cut(_texts(docs).mapInArrow(mapped(run), "part int, payload binary")), 8)
+    return sum((x[0] for x in sums), np.zeros(len(known) * 48)).reshape(-1, 48)
+
+
+def refine(docs: DataFrame, path: str, model: Model, seed: int, steps: int, batch: int, part_bytes: int = 4_000_000, top: float = 4e-3) -> None:
+    """Trains the model further on all windows of every part of docs (text), some `part_bytes` of text each, and averages
+    what comes out by the parts' windows.
+
+    Each part starts from the same model and makes `steps` steps at least. Sums of parts are added up in groups. An empty
+    table changes nothing.
     """
     bound = docs.sparkSession.sparkContext.broadcast(model)
     names = list(model.p)
@@ -305,29 +366,20 @@ def refine(docs: DataFrame, path: str, model: Model, seed: int, steps: int, batc
 
         from pyspark import TaskContext
 
-        encode, number = encoder(path)[0], TaskContext.get().partitionId()
-        total, parts = None, 0
-        for table in slices(batches, "text", part_bytes):
-            words = [x.encode().lower().split() for x in table.column("text").to_pylist() if x]
-            lengths = np.array([len(x) for x in words])
-            if not lengths.sum():
-                continue
-            rng = np.random.default_rng([seed, number, parts])
-            own = []
-            for k in rng.choice(len(words), draws, p=lengths / lengths.sum()).tolist():
-                at = int(rng.integers(0, max(1, len(words[k]) - stretch + 1)))
-                ids = encode("".join(" " + w.decode() for w in words[k][at : at + stretch]))
-                own.append(np.array(ids + [END] if at + stretch >= len(words[k]) else ids))
+        number = TaskContext.get().partitionId()
+        total, seen, count = None, 0, 0
+        for ids, bounds in parts(batches, path, part_bytes):
             local = copy(bound.value)
             local.p = {n: x.copy() for n, x in bound.value.p.items()}
-            local.learn(*windows(np.concatenate(own).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in own])])), steps, batch, seed, top)
-            moved = [local.p[n].astype(np.float64) - bound.value.p[n] for n in names]
+            given, goal = (x.astype(np.int32) for x in windows(ids, bounds))
+            local.learn(given, goal, steps, batch, int(np.random.default_rng([seed, number, count]).integers(1 << 62)), top, whole=True)
+            moved = [(local.p[n].astype(np.float64) - bound.value.p[n]) * len(given) for n in names]
             total = moved if total is None else [a + b for a, b in zip(total, moved, strict=True)]
-            parts += 1
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([pack(np.array([float(parts)]), *[x.ravel() for x in total])], pa.binary())], ["part", "payload"])
+            seen, count = seen + len(given), count + 1
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([pack(np.array([float(seen)]), *[x.ravel() for x in total])], pa.binary())], ["part", "payload"])
 
-    sums = added(cut(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, payload binary")), 8)
+    sums = added(cut(_texts(docs).mapInArrow(mapped(run), "part int, payload binary")), 8)
     if sums:
         count = sum(float(x[0][0]) for x in sums)
         for k, name in enumerate(names):
@@ -360,18 +412,18 @@ def added(rows: DataFrame, fan: int = 32) -> list[list[np.ndarray]]:
 
     parts = 1 + (rows.agg(F.max("part")).first()[0] or 0)
     while parts > fan:
-        rows = rows.groupBy((F.col("part") / fan).cast("int").alias("group")).applyInArrow(total, "part int, payload binary")
+        rows = rows.groupBy((F.col("part") / fan).cast("int").alias("group")).applyInArrow(grouped(total), "part int, payload binary")
         parts = -(-parts // fan)
     return [unpack(r["payload"]) for r in rows.select("payload").collect()]
 
 
-def score(docs: DataFrame, path: str, held: tuple[int, int] = (7, 2), rows: int = 1200, most_chars: int = 20_000, classes: int = 16, steps: int = 1200, part_steps: int = 24, batch: int = 64, seed: int = 11) -> DataFrame:
+def score(docs: DataFrame, path: str, held: tuple[int, int] = (7, 2), rows: int = 1200, most_chars: int = 20_000, classes: int = 16, steps: int = 1200, part_steps: int = 24, batch: int = 64, part_batch: int = 256, seed: int = 11) -> DataFrame:
     """Scores every row's whole text; learns from rows whose crc32(doc_id) modulo held[0] is not held[1].
 
     A null text is an empty one: its only token is the end. Repeated rows are scored each, and count each; a null
-    doc_id is hashed as an empty text; other columns are ignored. The attention model starts on at most `rows` training
-    texts of at most `most_chars` characters (long ones are left to the parts) and goes on over every part of the training
-    rows (refine); word counts, id counts and the totals are of all of them.
+    doc_id is hashed as an empty text; other columns are ignored. The attention model learns from every id of every
+    training row (refine), beginning with at most `rows` texts of at most `most_chars` characters on the driver, which only
+    give all parts one start; classes, word counts, id counts and the totals are of all training rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("trained", remainder(F.col("doc_id"), held[0]) != held[1])
     table = cut(resolved(own, lower_words, path, counted=True, weight="trained", before=" "))
@@ -382,8 +434,10 @@ def score(docs: DataFrame, path: str, held: tuple[int, int] = (7, 2), rows: int
         counts[: len(by_id)] += by_id
     distinct, total = int(sums[0]) + (n_docs > 0), int(sums[1]) + n_docs
     counts[END] += n_docs
-    model = train(sample(own, path, rows, most_chars, seed), counts, classes, steps=steps, batch=batch, seed=seed)
-    refine(own.filter("trained"), path, model, seed, part_steps, batch)
+    learnt = own.filter("trained")
+    near = surroundings(learnt, path, kept(counts), counts, seed)
+    model = train(sample(own, path, rows, most_chars, seed), counts, classes, steps=steps, batch=batch, seed=seed, near=near)
+    refine(learnt, path, model, seed, part_steps, part_batch)
     bound = docs.sparkSession.sparkContext.broadcast(model)
     end_known = np.log10(n_docs + 1)
 
@@ -408,5 +462,5 @@ def score(docs: DataFrame, path: str, held: tuple[int, int] = (7, 2), rows: int
             lo = hi
         return pa.table({"doc_id": pa.array(block.doc_ids, mask=~block.known), "held_out": pa.array(~block.marks), "n_tokens": pa.array(lengths + 1), "n_known": pa.array(known), "base_sum": pa.array(base), "score": pa.array(scores)})
 
-    scored = table.filter("kind < 2").groupBy("block").applyInArrow(join, SCORES)
+    scored = table.filter("kind < 2").groupBy("block").applyInArrow(grouped(join), SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base_sum") - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), "score")

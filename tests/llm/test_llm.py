@@ -366,6 +366,29 @@ def test_lm_refine(spark, data, empty):
     assert model.predict(flat, bounds, model.tables()).sum() > before
 
 
+def test_lm_learns_from_every_window():
+    # all texts of a part, whole, and each of their windows: nothing is drawn
+    import pyarrow as pa
+
+    encode = wordtable.encoder(PATH)[0]
+    texts = ["", None, "One two\tTWO", *(f"w{k} " * (40 * k) + "\x0bend" for k in range(1, 30))]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[k : k + 7], pa.string())}) for k in range(0, len(texts), 7)]
+    got = [ids[a:b].tolist() for ids, bounds in lm.parts(iter(batches), PATH, 5_000) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [lm._encoded(x or "", encode).tolist() for x in texts]
+    flat, bounds = np.concatenate(got), np.concatenate([[0], np.cumsum([len(x) for x in got])])
+    given, goal = lm.windows(flat, bounds)
+    counts = np.bincount(flat, minlength=lm.END + 1).astype(float)
+    model = lm.train([flat], counts, classes=3, own_rows=20, steps=1)
+    seen, step = [], model.step
+    model.step = lambda x, y: (seen.extend(map(bytes, y)), step(x, y))[1]
+    model.learn(given, goal, 2, 16, 1, whole=True)
+    assert not Counter(map(bytes, goal)) - Counter(seen) and len(seen) < len(goal) + 16
+    # what stands beside an id is a sum over parts
+    known, half = lm.kept(counts, 20), len(flat) // 2
+    whole = lm.beside(flat, known, counts, 1)
+    assert np.allclose(whole, lm.beside(flat[: half + 1], known, counts, 1) + lm.beside(flat[half:], known, counts, 1), rtol=1e-4, atol=1e-4)
+
+
 def test_chunk_of_many_ids(spark, library):
     # no space to cut at: one chunk of more ids than 16 bits count
     text = "\n".join(f"{i:x}," for i in range(40_000))
