@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -43,4 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    sweep(df.sparkSession)
+    return kept
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and broadcasts of plans that nothing refers to any more.
+
+    Spark does so when the driver's JVM collects garbage; a driver with memory to spare does not for long, while
+    each finished step's files, one of each task and a block of disk at least, stay.
+    """
+    gc.collect()  # Python's references to plans go first
+    spark.sparkContext._jvm.System.gc()

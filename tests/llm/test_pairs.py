@@ -38,6 +38,23 @@ def test_jaccard_recall_and_hot_tokens(spark):
     assert joined[0] == joined[1] and len(joined[0]) > 500
 
 
+def test_finished_shuffles_are_removed(spark):
+    import time
+
+    from tessera.session import cut
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for k in range(found.size()) if (n := found.apply(k).getName()).startswith("shuffle_")} if (found := disk.getAllFiles()) else set()
+    before = files()
+    own = cut(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("id")).count())
+    first = files() - before
+    assert first
+    for _ in range(4):  # a few steps later they are gone
+        cut(own.filter("id > 1"))
+        time.sleep(0.5)
+    assert not files() & first
+
+
 def test_jaccard_clashing_columns_and_nulls(spark):
     base = " ".join(f"w{i}" for i in range(120))
     rows = [(None, base), (None, base), (None, "other words " + base), (5, None), (6, ""), (7, base + " end"), (7, base + " end")]
