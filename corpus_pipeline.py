@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard, packing, quality, toxicity
+from tessera.llm.common import trim
 from tessera.llm.queries import vocabulary
 from tessera.session import ship
 
@@ -18,7 +19,9 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity tagger, trained on their labels, scores under one half."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.clean(docs, toxicity.fit(docs, labels))
+    model = toxicity.fit(docs, labels)
+    trim()  # the driver held the words it learnt from
+    return toxicity.clean(docs, model)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,11 @@ def test_empty(spark, data):
     none = spark.read.parquet(f"{data}/documents.parquet").limit(0)
     for name, stage in P.STAGES:
         assert stage(spark, none, data).count() == 0, name
+
+
+def test_fit_gives_memory_back(spark, data, monkeypatch):
+    done = []
+    monkeypatch.setattr(toxicity, "fit", lambda *_: done.append("fit") or {"weights": None, "trans": None, "scale": []})
+    monkeypatch.setattr(P, "trim", lambda: done.append("trim"))
+    P.drop_toxic(spark, spark.read.parquet(f"{data}/documents.parquet"), data)
+    assert done == ["fit", "trim"]
