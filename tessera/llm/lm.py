@@ -9,7 +9,7 @@ what stands beside each (which gives the classes) and what the other ids share i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import drawn, grouped, mapped, pack, remainder, slices, texts_of
-from .wordtable import Block, encoder, lower_words, resolved, unpack
+from .wordtable import Block, blocks, encoder, lower_words, resolved, unpack
 
 END = 50256
 #: Positions in a window, and how many of its last ones are scored: each id is scored once, with 16 to 48 ids before it.
 WINDOW, STRIDE = 48, 32
 WIDE, KEY, HIDDEN = 32, 8, 32
+#: Windows whose attention is worked out at once: their weights fit a core's cache.
+RUN = 64
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
 
 
@@ -55,17 +57,16 @@ def _flat(x: np.ndarray) -> np.ndarray:
     return x.reshape(-1, x.shape[-1])
 
 
-def _softmax(z: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of z @ weights + bias at one column of each row."""
-    x = z @ weights
-    x += bias
-    own = x[np.arange(len(x)), chosen]
-    with np.errstate(over="ignore", divide="ignore"):
-        total = np.log(np.exp(x) @ np.ones(len(bias), np.float32))
-    if not np.isfinite(total).all():  # beyond what a float holds: off the maximum
-        top = x.max(-1)
-        total = top + np.log(np.exp(x - top[:, None]).sum(-1))
-    return own - total
+def _short(x: np.ndarray, most: int) -> np.ndarray:
+    """Numbers under `most` in 16 bits where they fit, which are sorted by digits."""
+    return x.astype(np.int16) if most < 1 << 15 else x
+
+
+def _exp(x: np.ndarray, safe: bool) -> np.ndarray:
+    """Exponentials in place, for sums along the last axis; with safe, off the maximum, so that no sum is beyond a float."""
+    if safe:
+        x -= x.max(-1, keepdims=True)
+    return np.exp(x, out=x)
 
 
 class Model:
@@ -105,64 +106,107 @@ class Model:
 
     def step(self, given: np.ndarray, goal: np.ndarray) -> tuple[float, dict]:
         """Loss in nats a known id, and gradients."""
-        p, rows = self.p, self.rows(given)
-        e = p["E"][rows]
-        late = e[:, -STRIDE:]
-        q, k, v = late @ p["q"], e @ p["k"], e @ p["v"]
-        far = _mask()
-        s = q @ k.transpose(0, 2, 1) * np.float32(KEY**-0.5) + p["r"][np.maximum(far, 0)]
-        s = np.where((far >= 0) & (given >= 0)[:, None, :], s, np.float32(-1e9))
-        a = np.exp(s - s.max(-1, keepdims=True))
-        a /= a.sum(-1, keepdims=True)
-        u = late @ p["w"] + a @ v + p["b"]
-        z = _flat(np.maximum(u, 0))
+        with np.errstate(all="ignore"):
+            loss, g = self.passed(given, goal)
+        return (loss, g) if np.isfinite(loss) else self.passed(given, goal, safe=True)
+
+    def passed(self, given: np.ndarray, goal: np.ndarray, safe: bool = False) -> tuple[float, dict]:
+        """What step() returns; without safe, the loss is not finite where a sum of exponentials is beyond a float."""
+        p, rows, ready = self.p, self.rows(given), self.tables()
+        kind, n = p["E"].dtype.type, len(given)
+        far, bias = _mask(), self.bias()
+        runs = [slice(lo, lo + RUN) for lo in range(0, n, RUN)]
+        seen = [self.attend(given[x], rows[x], ready, bias, safe) for x in runs]
+        u = np.concatenate([x[-1] for x in seen])
+        z = np.ones((n * STRIDE, HIDDEN + 1), kind)  # the last column takes the biases
+        np.maximum(_flat(u), 0, out=z[:, :-1])
         target = self.place[np.maximum(goal, 0)].ravel()
         live = np.flatnonzero((goal.ravel() >= 0) & (target >= 0))
-        target = target[live]
+        live = live[np.argsort(_short(self.groups[target[live]], self.count), kind="stable")]
+        z, target = z[live], target[live]
         group = self.groups[target]
-        n = max(1, len(live))
-        y = z[live] @ p["o"] + p["c"]
-        y = np.exp(y - y.max(-1, keepdims=True))
-        y /= y.sum(-1, keepdims=True)
-        at = np.arange(len(live))
-        loss = -np.log(y[at, group] + 1e-30).sum()
-        y[at, group] -= 1
-        y /= n
-        g = {"o": z[live].T @ y, "c": y.sum(0), "i": np.zeros_like(p["i"]), "d": np.zeros_like(p["d"])}
-        dz = np.zeros_like(z)
-        dz[live] = y @ p["o"].T
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(self.count + 1))
-        for c in range(self.count):
-            own, (lo, hi) = order[edges[c] : edges[c + 1]], self.edges[c : c + 2]
-            if not len(own) or hi - lo < 2:
-                continue
-            x = z[live[own]]
-            y = x @ p["i"][lo:hi].T + p["d"][lo:hi]
-            y = np.exp(y - y.max(-1, keepdims=True))
-            y /= y.sum(-1, keepdims=True)
-            pick = target[own] - lo
-            loss -= np.log(y[at[: len(own)], pick] + 1e-30).sum()
-            y[at[: len(own)], pick] -= 1
-            y /= n
-            g["i"][lo:hi], g["d"][lo:hi] = y.T @ x, y.sum(0)
-            dz[live[own]] += y @ p["i"][lo:hi]
-        du = dz.reshape(u.shape) * (u > 0)
-        g["w"], g["b"] = _flat(late).T @ _flat(du), _flat(du).sum(0)
-        da, dv = du @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ du
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        g["r"] = np.bincount(np.maximum(far, 0).ravel(), (ds.sum(0) * (far >= 0)).ravel(), WINDOW).astype(np.float32)
-        ds *= np.float32(KEY**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = _flat(late).T @ _flat(dq), _flat(e).T @ _flat(dk), _flat(e).T @ _flat(dv)
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, -STRIDE:] += dq @ p["q"].T + du @ p["w"].T
-        order = np.argsort(rows.ravel(), kind="stable")
+        count = max(1, len(live))
+        first = np.append(0, np.cumsum(np.bincount(group, minlength=self.count)))
+        pick, got, dz = target - self.edges[group], np.empty((2, len(live)), kind), np.empty_like(z)
+        top, inner = ready["out"]
+        d_top, d_inner = np.zeros_like(top), np.zeros_like(inner)
+        for c in np.flatnonzero(np.diff(first)):  # both softmaxes of a class's targets side by side
+            (a0, b0), (lo, hi) = first[c : c + 2], self.edges[c : c + 2]
+            x, w, at = z[a0:b0], np.concatenate([top, inner[lo:hi]]), np.arange(b0 - a0)
+            y = x @ w.T
+            for k, own, chosen in ((0, y[:, : self.count], c), (1, y[:, self.count :], pick[a0:b0])):
+                _exp(own, safe)
+                own *= (1 / (count * (own @ np.ones(own.shape[1], kind))))[:, None]
+                got[k, a0:b0] = own[at, chosen]
+                own[at, chosen] -= kind(1 / count)
+            moved = y.T @ x
+            d_top += moved[: self.count]
+            d_inner[lo:hi] = moved[self.count :]
+            np.matmul(y, w, out=dz[a0:b0])
+        loss = -np.log(got * count + 1e-30).sum()
+        du = np.zeros((n * STRIDE, HIDDEN + 1), kind)
+        du[live] = dz
+        du = du.reshape(n, STRIDE, HIDDEN + 1)
+        du[..., :-1] *= u > 0
+        g = {"o": d_top[:, :-1].T, "c": d_top[:, -1], "i": d_inner[:, :-1], "d": d_inner[:, -1], "b": _flat(du)[:, :-1].sum(0)}
+        near, late = np.column_stack([p["k"], p["v"]]), np.column_stack([p["q"] * kind(KEY**-0.5), p["w"]])
+        d_near, d_late, d_far = np.zeros_like(near), np.zeros_like(late), np.zeros((STRIDE, WINDOW), kind)
+        de = np.empty((n, WINDOW, WIDE), kind)
+        for at, (kv, qw, a, h, _) in zip(runs, seen, strict=True):
+            d = du[at]
+            np.einsum("ntj,ntj->nt", d[..., :-1], h, out=d[..., -1])  # what a's gradients weigh on average
+            d[..., -1] *= -1
+            ds = d @ kv[..., KEY:].transpose(0, 2, 1)
+            ds *= a
+            d_far += ds.sum(0)
+            d_kv, d_qw = np.empty((len(a), WINDOW, KEY + HIDDEN), kind), np.empty((len(a), STRIDE, KEY + HIDDEN), kind)
+            np.matmul(ds.transpose(0, 2, 1), qw[..., :KEY], out=d_kv[..., :KEY])
+            np.matmul(a.transpose(0, 2, 1), d[..., :-1], out=d_kv[..., KEY:])
+            np.matmul(ds, kv[..., :KEY], out=d_qw[..., :KEY])
+            d_qw[..., KEY:] = d[..., :-1]
+            d_kv[given[at] < 0] = 0  # weights of places without an id count nowhere
+            e = p["E"][rows[at]]
+            d_near += _flat(e).T @ _flat(d_kv)
+            d_late += _flat(e[:, -STRIDE:]).T @ _flat(d_qw)
+            np.matmul(_flat(d_kv), near.T, out=_flat(de[at]))
+            de[at, -STRIDE:] += (_flat(d_qw) @ late.T).reshape(len(a), STRIDE, WIDE)
+        g["k"], g["v"], g["q"], g["w"] = d_near[:, :KEY], d_near[:, KEY:], d_late[:, :KEY] * kind(KEY**-0.5), d_late[:, KEY:]
+        g["r"] = np.bincount(np.maximum(far, 0).ravel(), (d_far * (far >= 0)).ravel(), WINDOW).astype(kind)
+        order = np.argsort(_short(rows.ravel(), len(p["E"])), kind="stable")
         sorted_rows = rows.ravel()[order]
         edge = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
         g["E"] = np.zeros_like(p["E"])
-        g["E"][sorted_rows[edge]] = np.add.reduceat(_flat(de)[order], edge, 0)
-        return float(loss) / n, g
+        pairs = np.add.reduceat(_flat(de)[order].view(np.result_type(kind, np.complex64)), edge, 0)  # two columns at once
+        g["E"][sorted_rows[edge]] = pairs.view(kind)
+        g["E"][-1] = 0  # places without an id
+        return float(loss) / count, g
+
+    def bias(self) -> np.ndarray:
+        """What a position's distance adds to its score; nothing ahead is seen."""
+        far, r = _mask(), self.p["r"]
+        return np.where(far >= 0, r[np.maximum(far, 0)], r.dtype.type(-1e9))
+
+    def attend(self, given: np.ndarray, rows: np.ndarray, ready: dict, bias: np.ndarray, safe: bool) -> tuple[np.ndarray, ...]:
+        """Of some windows: the tables' rows of all positions and of the scored ones, weights, what they gather, and the
+        hidden layer before its rectifier.
+
+        Places without an id read a row of zeros, which has no part in sums, whatever its weight.
+        """
+        kv, qw = ready["near"][rows], ready["late"][rows[:, -STRIDE:]]
+        a = qw[..., :KEY] @ kv[..., :KEY].transpose(0, 2, 1)
+        a += bias
+        if safe:
+            np.copyto(a, bias.dtype.type(-1e9), where=(given < 0)[:, None, :])
+        _exp(a, safe)
+        h = a @ kv[..., KEY:]
+        total = 1 / h[..., -1:]
+        a *= total
+        h = h[..., :-1] * total
+        return kv, qw, a, h, h + qw[..., KEY:]
+
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of classes and of ids, a row each, with the biases in the last column."""
+        return np.vstack([self.p["o"], self.p["c"]]).T.copy(), np.column_stack([self.p["i"], self.p["d"]])
 
     def learn(self, given: np.ndarray, goal: np.ndarray, steps: int, batch: int, seed: int, top: float = 2.5e-2, decay: float = 0.1, whole: bool = False) -> list[float]:
         """Adam with a rate that rises to `top` and falls, over random windows; the weights of single ids decay.
@@ -173,73 +217,86 @@ class Model:
         if whole:
             steps = max(steps, -(-len(given) // batch))
             order = np.concatenate([rng.permutation(len(given)) for _ in range(-(-steps * batch // len(given)))])
-        m, s = ({n: np.zeros_like(x) for n, x in self.p.items()} for _ in range(2))
+        flat = np.concatenate([x.ravel() for x in self.p.values()])
+        ends = np.cumsum([x.size for x in self.p.values()])
+        self.p = {n: own.reshape(x.shape) for (n, x), own in zip(self.p.items(), np.split(flat, ends[:-1]), strict=True)}
+        m, s, g, move = (np.zeros_like(flat) for _ in range(4))
         losses = []
         for t in range(1, steps + 1):
             pick = order[(t - 1) * batch : t * batch] if whole else rng.integers(0, len(given), batch)
-            loss, g = self.step(given[pick], goal[pick])
+            loss, own = self.step(given[pick], goal[pick])
+            np.concatenate([own[n].ravel() for n in self.p], out=g)
             rate = top * min(1, 20 * t / steps) * (1 - t / (steps + 1)) ** 0.7 + 1e-5
-            for n, x in self.p.items():
-                m[n] += 0.1 * (g[n] - m[n])
-                s[n] += 0.01 * (g[n] * g[n] - s[n])
-                x -= (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-                if n in "Ei":
-                    x -= np.float32(rate * decay) * x
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=move)
+            g *= g
+            s *= 0.99
+            s += np.multiply(g, 0.01, out=g)
+            np.sqrt(s, out=move)
+            move *= 1 / np.sqrt(1 - 0.99**t)
+            move += 1e-8
+            np.divide(m, move, out=move)
+            flat -= np.multiply(move, rate / (1 - 0.9**t), out=move)
+            for n in "Ei":
+                self.p[n] *= 1 - rate * decay
             losses.append(loss)
         return losses
 
     def tables(self) -> dict:
-        """Everything that depends on one id alone, by row, for scoring."""
-        p = self.p
-        return {"q": p["E"] @ p["q"] * np.float32(KEY**-0.5), "k": p["E"] @ p["k"], "v": np.column_stack([p["E"] @ p["v"], np.ones(len(p["E"]), np.float32)]), "w": p["E"] @ p["w"] + p["b"], "i": [np.ascontiguousarray(p["i"][lo:hi].T) for lo, hi in zip(self.edges[:-1], self.edges[1:], strict=True)]}
+        """Everything that depends on one id alone, by row; that of places without an id is empty on the side that is seen."""
+        p, kind = self.p, self.p["E"].dtype.type
+        near = np.ones((len(p["E"]), KEY + HIDDEN + 1), kind)  # the last column adds up the weights
+        np.matmul(p["E"], np.column_stack([p["k"], p["v"]]), out=near[:, :-1])
+        near[-1] = 0
+        late = p["E"] @ np.column_stack([p["q"] * kind(KEY**-0.5), p["w"]])
+        late[:, KEY:] += p["b"]
+        return {"near": near, "late": late, "out": self.outputs()}
 
     def predict(self, ids: np.ndarray, bounds: np.ndarray, ready: dict, batch: int = 512) -> np.ndarray:
         """log10 of the probability of each id of the sequences."""
         given, goal = windows(ids, bounds)
-        out = np.empty(len(ids))
-        far, at, p = _mask(), 0, self.p
-        bias = np.where(far >= 0, p["r"][np.maximum(far, 0)], np.float32(-1e9)).astype(np.float32)
-        rows_of = np.append(self.row, len(self.known) + 1).astype(np.int32)  # -1 reads the last
+        out, at = np.empty(len(ids)), 0
         for lo in range(0, len(given), batch):
             x, y = given[lo : lo + batch], goal[lo : lo + batch].ravel()
-            rows = rows_of[x]
-            late = rows[:, -STRIDE:]
-            a = ready["q"][late] @ ready["k"][rows].transpose(0, 2, 1)
-            a += bias
-            gone = x < 0
-            if gone.any():
-                some = np.flatnonzero(gone.any(1))
-                part = a[some]
-                part += np.where(gone[some], np.float32(-1e9), np.float32(0))[:, None, :]
-                part -= part.max(-1, keepdims=True)
-                a[some] = part
-            np.exp(a, out=a)  # scores are small where nothing is masked: no maximum is needed
-            h = a @ ready["v"][rows]
-            h = h[..., :-1] / h[..., -1:]  # the last column of v is 1: what the weights add up to
-            h += ready["w"][late]
-            np.maximum(h, 0, out=h)
-            y_live = y >= 0
-            z, y = _flat(h)[y_live], y[y_live]
-            group = self.of[y]
-            order = np.argsort(group.astype(np.int16), kind="stable")
-            edges = np.searchsorted(group[order], np.arange(self.count + 1))
-            z, sought = z[order], self.place[y[order]]
-            known = edges[0]  # those before have no place of their own
-            found = np.empty(len(y), np.float32)
-            chosen = group[order]
-            found[known:] = _softmax(z[known:], p["o"], p["c"], chosen[known:])
-            for c in np.flatnonzero(np.diff(edges)):
-                a0, b0 = edges[c : c + 2]
-                first, last = self.edges[c : c + 2]
-                if last - first > 1:
-                    found[a0:b0] += _softmax(z[a0:b0], ready["i"][c], p["d"][first:last], sought[a0:b0] - first)
-            own = np.empty(len(y))
-            own[order[known:]] = found[known:] + np.log1p(-self.other)
-            own[order[:known]] = self.share[y[order[:known]]]
-            out[at : at + len(y)] = own
-            at += len(y)
+            with np.errstate(all="ignore"):
+                own = self.logs(x, y, ready)
+            if not np.isfinite(own).all():
+                own = self.logs(x, y, ready, safe=True)
+            out[at : at + len(own)] = own
+            at += len(own)
         return out / np.log(10.0)
 
+    def logs(self, given: np.ndarray, goal: np.ndarray, ready: dict, safe: bool = False) -> np.ndarray:
+        """Logarithms of the probabilities of all targets of some windows; without safe, not finite where a sum of
+        exponentials is beyond a float."""
+        rows, bias, (top, inner) = self.rows(given), self.bias(), ready["out"]
+        runs = [slice(lo, lo + RUN) for lo in range(0, len(given), RUN)]
+        u = np.concatenate([self.attend(given[x], rows[x], ready, bias, safe)[-1] for x in runs])
+        z = np.ones((goal.size, HIDDEN + 1), u.dtype)
+        np.maximum(_flat(u), 0, out=z[:, :-1])
+        live = np.flatnonzero(goal >= 0)
+        goal = goal[live]
+        group = self.of[goal]
+        order = np.argsort(_short(group, self.count), kind="stable")
+        z, goal = z[live[order]], goal[order]
+        first = np.searchsorted(group[order], np.arange(self.count + 1))
+        found = np.empty(len(goal))
+        found[: first[0]] = self.share[goal[: first[0]]]  # those have no place of their own
+        pick = self.place[goal]
+        for c in np.flatnonzero(np.diff(first)):
+            (a0, b0), (lo, hi) = first[c : c + 2], self.edges[c : c + 2]
+            y = z[a0:b0] @ np.concatenate([top, inner[lo:hi]]).T
+            total = np.zeros(b0 - a0, u.dtype)
+            for own, chosen in ((y[:, : self.count], c), (y[:, self.count :], pick[a0:b0] - lo)):
+                if safe:
+                    own -= own.max(-1, keepdims=True)
+                total += own[np.arange(b0 - a0), chosen]
+                total -= np.log(_exp(own, False) @ np.ones(own.shape[1], u.dtype))
+            found[a0:b0] = total + np.log1p(-self.other)
+        out = np.empty(len(goal))
+        out[order] = found
+        return out
+
 
 def beside(ids: np.ndarray, known: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
     """What stands before and after each known id in ids, as sums of random projections of the neighbours, rare ones more.
@@ -330,36 +387,63 @@ def parts(batches: Iterator[pa.RecordBatch], path: str, part_bytes: int) -> Iter
         yield ids, np.append(0, np.cumsum(own))[np.append(0, offsets[1:] + np.arange(1, len(offsets)))]
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("text").cast("string").alias("text"))
+def sequences(block: Block, most: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Runs of a block's documents of at most `most` ids, or of one document: which, their ids, each with its end, and bounds."""
+    lengths = np.diff(block.offsets)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    per = np.bincount(doc, block.sizes[block.codes], len(lengths)).astype(np.int64)
+    reach, lo = np.append(0, np.cumsum(per + 1)), 0
+    while lo < len(lengths):
+        hi = max(lo + 1, int(np.searchsorted(reach, reach[lo] + most, "right")) - 1)
+        ids = block.ids(int(block.offsets[lo]), int(block.offsets[hi])).astype(np.int32)
+        yield slice(lo, hi), np.insert(ids, np.cumsum(per[lo:hi]), END), reach[lo : hi + 1] - reach[lo]
+        lo = hi
+
+
+def learnt(batches: Iterator[pa.RecordBatch], part_ids: int = 1_600_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What parts() gives, of the training rows of a word table whose blocks lie one after another: no text is encoded again."""
+    for block in blocks(batches):
+        for run, ids, bounds in sequences(block, part_ids):
+            marks, per = block.marks[run], np.diff(bounds)
+            if marks.any():
+                yield ids[np.repeat(marks, per)], np.append(0, np.cumsum(per[marks]))
+
+
+def _training(docs: DataFrame, path: str, part_bytes: int) -> tuple[DataFrame, Callable]:
+    """Rows of texts, all of which train, or of a word table with its marks, and what gives their ids in an executor."""
+    if {"block", "kind", "payload"} <= set(docs.columns):
+        return docs.filter("kind < 2").select("block", "kind", "payload").repartition("block").sortWithinPartitions("block"), learnt
+    return docs.select(F.col("text").cast("string").alias("text")), lambda batches: parts(batches, path, part_bytes)
 
 
 def surroundings(docs: DataFrame, path: str, known: np.ndarray, counts: np.ndarray, seed: int, part_bytes: int = 4_000_000) -> np.ndarray:
-    """beside() over all texts of docs (text)."""
+    """beside() over all texts of docs (text), or over the training rows of a word table."""
     bound = docs.sparkSession.sparkContext.broadcast((known, counts))
+    rows, read = _training(docs, path, part_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         total = np.zeros((len(bound.value[0]), 48))
-        for ids, _ in parts(batches, path, part_bytes):
+        for ids, _ in read(batches):
             total += beside(np.append(END, ids), *bound.value, seed)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pack(total.ravel())], pa.binary())], ["part", "payload"])
 
-    sums = added(cut(_texts(docs).mapInArrow(mapped(run), "part int, payload binary")), 8)
+    sums = added(cut(rows.mapInArrow(mapped(run), "part int, payload binary")), 8)
     return sum((x[0] for x in sums), np.zeros(len(known) * 48)).reshape(-1, 48)
 
 
 def refine(docs: DataFrame, path: str, model: Model, seed: int, steps: int, batch: int, part_bytes: int = 4_000_000, top: float = 4e-3) -> None:
-    """Trains the model further on all windows of every part of docs (text), some `part_bytes` of text each, and averages
-    what comes out by the parts' windows.
+    """Trains the model further on all windows of every part of docs (text; or the training rows of a word table), some
+    `part_bytes` of text each, and averages what comes out by the parts' windows.
 
     Each part starts from the same model and makes `steps` steps at least. Sums of parts are added up in groups. An empty
     table changes nothing.
     """
     bound = docs.sparkSession.sparkContext.broadcast(model)
     names = list(model.p)
+    rows, read = _training(docs, path, part_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from copy import copy
@@ -368,7 +452,7 @@ def refine(docs: DataFrame, path: str, model: Model, seed: int, steps: int, batc
 
         number = TaskContext.get().partitionId()
         total, seen, count = None, 0, 0
-        for ids, bounds in parts(batches, path, part_bytes):
+        for ids, bounds in read(batches):
             local = copy(bound.value)
             local.p = {n: x.copy() for n, x in bound.value.p.items()}
             given, goal = (x.astype(np.int32) for x in windows(ids, bounds))
@@ -379,7 +463,7 @@ def refine(docs: DataFrame, path: str, model: Model, seed: int, steps: int, batc
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([pack(np.array([float(seen)]), *[x.ravel() for x in total])], pa.binary())], ["part", "payload"])
 
-    sums = added(cut(_texts(docs).mapInArrow(mapped(run), "part int, payload binary")), 8)
+    sums = added(cut(rows.mapInArrow(mapped(run), "part int, payload binary")), 8)
     if sums:
         count = sum(float(x[0][0]) for x in sums)
         for k, name in enumerate(names):
@@ -434,10 +518,9 @@ def score(docs: DataFrame, path: str, held: tuple[int, int] = (7, 2), rows: int
         counts[: len(by_id)] += by_id
     distinct, total = int(sums[0]) + (n_docs > 0), int(sums[1]) + n_docs
     counts[END] += n_docs
-    learnt = own.filter("trained")
-    near = surroundings(learnt, path, kept(counts), counts, seed)
+    near = surroundings(table, path, kept(counts), counts, seed)
     model = train(sample(own, path, rows, most_chars, seed), counts, classes, steps=steps, batch=batch, seed=seed, near=near)
-    refine(learnt, path, model, seed, part_steps, part_batch)
+    refine(table, path, model, seed, part_steps, part_batch)
     bound = docs.sparkSession.sparkContext.broadcast(model)
     end_known = np.log10(n_docs + 1)
 
@@ -451,15 +534,8 @@ def score(docs: DataFrame, path: str, held: tuple[int, int] = (7, 2), rows: int
         base = np.bincount(doc, gain[block.codes], n) + end_known
         known = np.bincount(doc, block.weights[block.codes] > 0, n).astype(np.int64) + (n_docs > 0)
         scores = np.zeros(n)
-        lo = 0
-        while lo < n:  # some 300,000 words at once
-            hi = max(lo + 1, int(np.searchsorted(block.offsets, block.offsets[lo] + 300_000, "right")) - 1)
-            a, b = int(block.offsets[lo]), int(block.offsets[hi])
-            per = np.bincount(doc[a:b] - lo, block.sizes[block.codes[a:b]], hi - lo).astype(np.int64)
-            ids = np.insert(block.ids(a, b).astype(np.int64), np.cumsum(per), END)
-            bounds = np.concatenate([[0], np.cumsum(per + 1)])
-            scores[lo:hi] = np.add.reduceat(own.predict(ids, bounds, ready), bounds[:-1])
-            lo = hi
+        for run, ids, bounds in sequences(block, 750_000):
+            scores[run] = np.add.reduceat(own.predict(ids, bounds, ready), bounds[:-1])
         return pa.table({"doc_id": pa.array(block.doc_ids, mask=~block.known), "held_out": pa.array(~block.marks), "n_tokens": pa.array(lengths + 1), "n_known": pa.array(known), "base_sum": pa.array(base), "score": pa.array(scores)})
 
     scored = table.filter("kind < 2").groupBy("block").applyInArrow(grouped(join), SCORES)

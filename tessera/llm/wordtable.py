@@ -286,6 +286,24 @@ class Block:
         return self.flat[np.repeat(shift, sizes) + np.arange(total)]
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks, one at a time, of batches whose rows (block, kind, payload) lie by block."""
+    held, last = [], None
+    for batch in batches:
+        numbers = batch.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if lo == hi:
+                continue
+            if held and numbers[lo] != last:
+                yield Block(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = numbers[lo]
+    if held:
+        yield Block(pa.Table.from_batches(held))
+
+
 def resolved(docs: DataFrame, split: Callable, path: str | None, counted: bool = False, weight: str | None = None, before: str = "") -> DataFrame:
     """deal() and answer() with half as many buckets as the session has shuffle partitions."""
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)

@@ -409,6 +409,40 @@ def test_lm_learns_from_every_window():
     assert np.allclose(whole, lm.beside(flat[: half + 1], known, counts, 1) + lm.beside(flat[half:], known, counts, 1), rtol=1e-4, atol=1e-4)
 
 
+def test_lm_trains_from_the_word_table(spark, docs):
+    # ids of training rows come from the word table, each text once and whole: nothing is encoded again
+    own = docs.select("doc_id", "text").withColumn("trained", F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))).repartition(5)
+    table = wordtable.resolved(own, wordtable.lower_words, PATH, counted=True, weight="trained", before=" ").cache()
+    rows, read = lm._training(table, "no file", 1)
+    encode = wordtable.encoder(PATH)[0]
+    want = Counter(tuple(lm._encoded(r["text"] or "", encode).tolist()) for r in own.filter("trained").collect())
+    for most in (1, 500, 1_600_000):
+        got = list(read(iter(rows.toArrow().to_batches(max_chunksize=3)), most))
+        assert Counter(tuple(ids[a:b].tolist()) for ids, bounds in got for a, b in zip(bounds[:-1], bounds[1:], strict=True)) == want
+        assert all(len(ids) <= most or len(bounds) == 2 for ids, bounds in got)
+    counts = np.bincount(np.concatenate([np.array(x) for x in want]), minlength=lm.END + 1).astype(float)
+    near = [lm.surroundings(x, PATH, lm.kept(counts, 50), counts, 1) for x in (table, own.filter("trained"))]
+    assert near[0].any() and np.linalg.norm(near[0] - near[1]) < 0.05 * np.linalg.norm(near[1])  # parts meet at other texts
+    table.unpersist()
+
+
+def test_lm_large_scores():
+    # sums of exponentials beyond a float are taken off the maximum
+    rng = np.random.default_rng(5)
+    ids = rng.choice([262, 290, 777, 5, 1000, lm.END], 300)
+    counts = np.bincount(ids, minlength=lm.END + 1).astype(float)
+    model = lm.train([ids], counts, classes=3, own_rows=5, steps=3)
+    usual = model.step(*lm.windows(ids, np.array([0, 300])))
+    careful = model.passed(*lm.windows(ids, np.array([0, 300])), safe=True)
+    assert usual[0] == pytest.approx(careful[0], rel=1e-5) and all(np.allclose(usual[1][k], careful[1][k], rtol=1e-3, atol=1e-6) for k in usual[1])
+    model.p["r"][:] += 200
+    model.p["c"][:] += 300
+    loss, g = model.step(*lm.windows(ids, np.array([0, 300])))
+    assert np.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+    assert loss == pytest.approx(usual[0], rel=1e-3)
+    assert model.predict(ids, np.array([0, 300]), model.tables()).sum() == pytest.approx(_plain_score(model, ids.tolist()), rel=1e-4)
+
+
 def test_chunk_of_many_ids(spark, library):
     # no space to cut at: one chunk of more ids than 16 bits count
     text = "\n".join(f"{i:x}," for i in range(40_000))
