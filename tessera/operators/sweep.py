@@ -1,7 +1,9 @@
 """Pattern and surface candidates: files x lines x rules, in one pass over each file.
 
-Every rule is a literal condition over a file's array of lines, so nothing is exploded before it has matched;
-windows are taken from the same array. Only candidates are shuffled, once, for ordinals.
+A file's whole text is held against the literals without which a rule can't match, then, where a rule looks at nothing
+beyond its match, against the rule; only files that pass are cut into lines. There every rule is a literal condition over
+the array of lines, so nothing is exploded before it has matched; windows are taken from the same array. Only candidates
+are shuffled, once, for ordinals.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.needs import holds
 from ..plans.rules import Rule
 
 LEDGER = ["id", "file", "line", "layer", "source", "rule_id", "precision", "question", "match_excerpt", "status", "catalog_version", "window_spec"]
@@ -28,7 +31,8 @@ def readable(inventory: DataFrame) -> DataFrame:
     return inventory.filter("is_regular and is_readable and is_within_size_bound and not is_symlink and not is_binary")
 
 
-def applies(rule: Rule, path: Column) -> Column:
+def applies(rule: Rule, path: Column, language: Column | None = None, prose: Column | None = None) -> Column:
+    """Whether a rule is for a path; language and prose are the path's, where they are at hand."""
     ok = F.lit(True)
     for glob in rule.paths_exclude:
         ok = ok & ~path.rlike("(?s)" + T.glob_regex(glob))
@@ -38,12 +42,26 @@ def applies(rule: Rule, path: Column) -> Column:
             any_file = any_file | path.rlike("(?siu)" + T.glob_regex(glob))
         return ok & any_file
     if rule.layer == "instruction" and not rule.id.startswith("generic."):
-        return ok & T.is_prose(path)
+        return ok & (T.is_prose(path) if prose is None else prose)
     if rule.languages:
-        return ok & F.coalesce(T.language_of(path).isin(list(rule.languages)), F.lit(False))
+        return ok & F.coalesce((T.language_of(path) if language is None else language).isin(list(rule.languages)), F.lit(False))
     return ok
 
 
+def _open(rules: list[Rule]) -> Column:
+    """For each rule, whether it may match in a file: its literals are there, it is for the path, and where it is local it matches the text."""
+
+    def of(file: Column) -> Column:
+        each = []
+        for k, rule in enumerate(rules):
+            wanted = F.col("held")[k] & applies(rule, F.col("path"), file["language"], file["prose"])
+            each.append(wanted & F.col("content").rlike(rule.java) if _local(rule.java) else wanted)
+        return F.array(*each)
+
+    # a lambda's argument is worked out once for all rules
+    return F.element_at(F.transform(F.array(F.struct(T.language_of(F.col("path")).alias("language"), T.is_prose(F.col("path")).alias("prose"))), of), 1)
+
+
 def _spans(line: Column, rule: Rule) -> Column:
     """Starts (from 0) and ends of all matches: gaps between matches and matches alternate."""
     found, gaps = F.regexp_extract_all(line, F.lit(rule.java), F.lit(0)), F.split(line, rule.java, -1)
@@ -58,7 +76,7 @@ def _spans(line: Column, rule: Rule) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["all"])
 
 
-def _hits(rule: Rule, every: bool) -> Column:
+def _hits(rule: Rule, every: bool, wanted: Column) -> Column:
     """Candidates of one rule in a file: array of (rule, line index, start, stop, excerpt)."""
     numbered = F.transform("lines", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     matched = F.filter(numbered, lambda x: x["x"].rlike(rule.java))
@@ -71,9 +89,6 @@ def _hits(rule: Rule, every: bool) -> Column:
     else:
         found = F.transform(matched, lambda x: entry(x, F.lit(0), F.length(x["x"])))
     empty = F.array().cast("array<struct<rule_id:string,index:int,start:int,match_excerpt:string>>")
-    wanted = applies(rule, F.col("path"))
-    if _local(rule.java):
-        wanted = wanted & F.col("content").rlike(rule.java)  # most files hold no match: their lines are not tried
     return F.when(wanted, found).otherwise(empty)
 
 
@@ -92,8 +107,11 @@ def identify(hits: DataFrame, order: list[str]) -> DataFrame:
 
 def candidates(corpus: DataFrame, rules: list[Rule], source: str, window_spec: str, every: bool) -> DataFrame:
     """Ledger rows with start, window_sha256 and ordinal beside them. corpus has path and content (null: unread)."""
-    files = corpus.filter("content is not null").select("path", F.col("content").cast("string").alias("content"), T.split_lines(F.col("content")).alias("lines"))
-    found = files.withColumn("hits", F.concat(*[_hits(r, every) for r in rules]))
+    files = corpus.filter("content is not null").select("path", F.col("content").cast("string").alias("content"))
+    # most files hold no match and go no further; inline, as a filter on open would be pushed below it and work it out twice
+    tried = F.filter(F.array(F.struct("path", "content", F.when(F.array_contains("held", True), _open(rules)).alias("open"))), lambda x: F.array_contains(x["open"], True))
+    files = files.withColumn("held", holds(F.col("content"), [r.condition for r in rules])).select(F.inline(tried)).select("path", "open", T.split_lines(F.col("content")).alias("lines"))
+    found = files.withColumn("hits", F.concat(*[_hits(r, every, F.col("open")[k]) for k, r in enumerate(rules)]))
     # windows by line, not by match: a line with many matches has one
     windows = F.transform(F.array_distinct(F.transform("hits", lambda h: h["index"])), lambda i: F.struct(i.alias("index"), T.window(F.col("lines"), i).alias("window")))
     # an outer explode, as a filter on hits or an inner one would be pushed below them and work them out twice

@@ -70,7 +70,7 @@ DOC_HITS, PAGE_HITS = _hits_sql(DOCS, DOC_RULES), _hits_sql(PAGES, GENERIC)
 
 
 def _doc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.pattern_hits(C.documents(spark, sf_dir), DOC_RULES)
+    return sweep.pattern_hits(C.documents(spark, sf_dir, even=True), DOC_RULES)
 
 
 @query(f"WITH {DOCS}, {FILES}, {LINES} SELECT path, CAST(line AS INT) AS line, text FROM l")
@@ -113,7 +113,7 @@ def pattern_hits_all(spark, sf_dir):
 
 @query(f"WITH {PAGE_HITS} SELECT rule_id, count(*) AS hits, count(DISTINCT file) AS files FROM ledger GROUP BY rule_id")
 def pattern_hits_by_rule(spark, sf_dir):
-    found = sweep.pattern_hits(C.pages(spark, sf_dir), GENERIC)
+    found = sweep.pattern_hits(C.pages(spark, sf_dir, even=True), GENERIC)
     return found.groupBy("rule_id").agg(F.count("*").alias("hits"), F.countDistinct("file").alias("files"))
 
 
@@ -426,7 +426,7 @@ for _rule in R.structural():
 
 def agentic_hits(spark, sf_dir):
     """All 21 agentic rules over documents, pages and conversations as files; their dialect is Java's, so no DuckDB form."""
-    files = C.documents(spark, sf_dir).unionByName(C.pages(spark, sf_dir)).unionByName(C.conversations(spark, sf_dir))
+    files = C.documents(spark, sf_dir, even=True).unionByName(C.pages(spark, sf_dir, even=True)).unionByName(C.conversations(spark, sf_dir, even=True))
     return sweep.pattern_hits(files, R.agentic()).select(*sweep.LEDGER)
 
 
