@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,7 @@ LANGUAGES = {
 PROSE = ["markdown", "text", "json", "yaml", "toml"]
 PROSE_SUFFIX = ".mdc"
 NOT_CODE = ["ini", "json", "markdown", "text", "toml", "yaml"]
+BREAK = "\r\n|\r|\n"
 #: Lines of context on either side, characters around a match, and an excerpt's length.
 RADIUS, MARGIN, LIMIT = 20, 24, 200
 REDACTED = "[REDACTED]"
@@ -36,7 +38,10 @@ REDACTIONS = [
 
 def split_lines(text: Column) -> Column:
     """Lines between CRLF, CR or LF only; no empty line after a last break; null stays null, empty has none."""
-    parts = F.split(text, "\r\n|\r|\n", -1)
+    return _unended(F.split(text, BREAK, -1))
+
+
+def _unended(parts: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
@@ -107,15 +112,40 @@ def slug(name: pd.Series) -> pd.Series:
     return name.map(one)
 
 
+def composed(text: Column) -> Column:
+    """NFC. Letters below the first combining mark (U+0300) never change; Python gets null for texts of such letters only, as Spark
+    evaluates it for all rows, whatever condition stands around it."""
+    return F.coalesce(nfc(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
+
+
 def normal(text: Column) -> Column:
-    """NFC with LF breaks. Only text that holds more than ASCII goes through Python."""
-    return F.when(text.rlike(r"^\p{ASCII}*$"), to_lf(text)).otherwise(nfc(to_lf(text)))
+    """NFC with LF breaks."""
+    return composed(to_lf(text))
 
 
 def window_sha(text: Column) -> Column:
     return F.sha2(normal(text), 256)
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with the value worked out once, however often it is named there, and kept as it is: an array that comes out of a row is
+    copied whole by each slice of it, one made here is not."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def window_shas(content: Column) -> Column:
+    """Digests of the windows of all lines, as an array; null where a line has the window of the line before it.
+
+    A line break composes with nothing, so the text is brought to NFC before it is cut; each window is dropped as soon as it is hashed.
+    """
+
+    def of(lines: Column) -> Column:
+        same = lambda i: (i > 0) & (i <= RADIUS) & (i + RADIUS >= F.size(lines))
+        return F.transform(lines, lambda _, i: F.when(~same(i), F.sha2(window(lines, i), 256)))
+
+    return once(once(F.split(composed(content), BREAK, -1), _unended), of)
+
+
 def candidate_id(path: Column, rule: Column, digest: Column, ordinal: Column) -> Column:
     gap = F.char(F.lit(0))
     return F.left(F.sha2(F.concat(path, gap, rule, gap, digest, gap, ordinal.cast("string")), 256), F.lit(16))

@@ -129,9 +129,11 @@ def candidate_id(spark, sf_dir):
 
 @query(f"WITH {DOCS}, {FILES}, {LINES} SELECT path, CAST(line AS INT) AS line, sha256(nfc_normalize(array_to_string(list_slice(ls, greatest(1, line - 20), line + 20), chr(10)))) AS window_sha256 FROM l")
 def window_sha256(spark, sf_dir):
-    files = C.documents(spark, sf_dir).select("path", T.split_lines(F.col("content")).alias("lines"))
-    each = files.filter("size(lines) > 0").select("path", F.explode(F.transform("lines", lambda _, i: F.struct((i + 1).alias("line"), T.window(F.col("lines"), i).alias("w")))).alias("x"))
-    return each.select("path", "x.line", T.window_sha(F.col("x.w")).alias("window_sha256"))
+    hashed = C.documents(spark, sf_dir, even=True).select("path", T.window_shas(F.col("content")).alias("shas"))
+    # lines that share a window come after its first one, which is at most RADIUS + 1 lines from the end
+    shared = F.get("shas", F.greatest(F.lit(0), F.size("shas") - T.RADIUS - 1))
+    each = hashed.select("path", shared.alias("shared"), F.posexplode("shas").alias("pos", "own"))
+    return each.select("path", (F.col("pos") + 1).alias("line"), F.coalesce("own", "shared").alias("window_sha256"))
 
 
 @query(f"WITH {DOC_HITS}, o AS (SELECT DISTINCT file, line, rule_id FROM ledger) SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, count(*) AS places FROM o a JOIN o b ON a.file = b.file AND a.line = b.line AND a.rule_id < b.rule_id GROUP BY ALL")

@@ -4,12 +4,19 @@ import hashlib
 import re
 import unicodedata
 
+import hashlib
+import re
+import unicodedata
+
+import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from test_rules import SAMPLES
 
 from tessera import queries as Q
+from tessera.functions import text as T
 from tessera.operators import sweep
 from tessera.plans import needs as N
 from tessera.plans import rules as R
@@ -62,3 +69,37 @@ def test_a_table_of_one_row_group_is_dealt_over_cores(spark, tmp_path):
     assert busy(C.documents(spark, str(tmp_path), even=True)) >= spark.sparkContext.defaultParallelism
     plan = Q._doc_hits(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_windows_agree_with_python(spark, tmp_path):
+    lines = ["e\u0301 cafe\u0301", "plain", "", "\u0301starts with a mark", "\u212b \u1100\u1161", "é", "x" * 50]
+    texts = [None, "", "\n", "\r\n\r", *(e.join(lines[(n + k) % 7] + str(k) for k in range(n)) + t for n in (1, 2, 20, 21, 22, 40, 41, 42, 43, 90) for e in ("\n", "\r\n", "\r") for t in ("", e))]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string()), "source": ["s"] * len(texts)}), f"{tmp_path}/documents.parquet")
+    got = sorted((r["path"], r["line"], r["window_sha256"]) for r in Q.QUERIES["window_sha256"](spark, str(tmp_path)).collect())
+    want = []
+    for n, text in enumerate(texts):
+        cut = re.split("\r\n|\r|\n", text or "")
+        cut = cut[:-1] if cut[-1] == "" else cut
+        for k in range(len(cut)):
+            window = unicodedata.normalize("NFC", "\n".join(cut[max(0, k - 20) : k + 21]))
+            want.append((f"docs/s/{n}.md", k + 1, hashlib.sha256(window.encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_windows_of_a_long_file(spark, tmp_path):
+    line = "x" * 799
+    spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(line + "\n"), 10_000).alias("text"), F.lit("s").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = Q.QUERIES["window_sha256"](spark, str(tmp_path)).groupBy("window_sha256").count().collect()
+    want = {hashlib.sha256("\n".join([line] * n).encode()).hexdigest(): 2 if n < 41 else 10_000 - 40 for n in range(21, 42)}
+    assert {r["window_sha256"]: r["count"] for r in found} == want
+
+
+def test_python_gets_only_texts_that_nfc_may_change(spark, monkeypatch):
+    def refuse(text: pd.Series) -> pd.Series:
+        assert text.isna().all(), "a text that is NFC already"
+        return text
+
+    monkeypatch.setattr(T, "nfc", F.pandas_udf(refuse, "string"))
+    files = spark.createDataFrame([("a.md", 'token = "abcdef"\nplain'), ("b.md", 'caf\u00e9\r\nsecret = "ghijkl"')], "path string, content string")
+    assert files.select(T.window_sha(F.col("content")).alias("x")).distinct().count() == 2
+    assert len(sweep.pattern_hits(files, R.generic()).collect()) == 2
