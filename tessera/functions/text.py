@@ -38,10 +38,11 @@ REDACTIONS = [
 
 def split_lines(text: Column) -> Column:
     """Lines between CRLF, CR or LF only; no empty line after a last break; null stays null, empty has none."""
-    return _unended(F.split(text, BREAK, -1))
+    return unended(F.split(text, BREAK, -1))
 
 
-def _unended(parts: Column) -> Column:
+def unended(parts: Column) -> Column:
+    """Without the empty line after a last break."""
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
@@ -143,7 +144,7 @@ def window_shas(content: Column) -> Column:
         same = lambda i: (i > 0) & (i <= RADIUS) & (i + RADIUS >= F.size(lines))
         return F.transform(lines, lambda _, i: F.when(~same(i), F.sha2(window(lines, i), 256)))
 
-    return once(once(F.split(composed(content), BREAK, -1), _unended), of)
+    return once(once(F.split(composed(content), BREAK, -1), unended), of)
 
 
 def candidate_id(path: Column, rule: Column, digest: Column, ordinal: Column) -> Column:

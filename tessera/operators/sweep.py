@@ -110,13 +110,14 @@ def candidates(corpus: DataFrame, rules: list[Rule], source: str, window_spec: s
     files = corpus.filter("content is not null").select("path", F.col("content").cast("string").alias("content"))
     # most files hold no match and go no further; inline, as a filter on open would be pushed below it and work it out twice
     tried = F.filter(F.array(F.struct("path", "content", F.when(F.array_contains("held", True), _open(rules)).alias("open"))), lambda x: F.array_contains(x["open"], True))
-    files = files.withColumn("held", holds(F.col("content"), [r.condition for r in rules])).select(F.inline(tried)).select("path", "open", T.split_lines(F.col("content")).alias("lines"))
-    found = files.withColumn("hits", F.concat(*[_hits(r, every, F.col("open")[k]) for k, r in enumerate(rules)]))
-    # windows by line, not by match: a line with many matches has one
-    windows = F.transform(F.array_distinct(F.transform("hits", lambda h: h["index"])), lambda i: F.struct(i.alias("index"), T.window(F.col("lines"), i).alias("window")))
-    # an outer explode, as a filter on hits or an inner one would be pushed below them and work them out twice
-    rows = found.select("path", F.explode_outer(windows).alias("w"), "hits").filter("w is not null").select("path", "w.index", T.window_sha(F.col("w.window")).alias("window_sha256"), "hits")
-    rows = rows.select("path", "window_sha256", F.inline(F.filter("hits", lambda h: h["index"] == F.col("index"))))
+    files = files.withColumn("held", holds(F.col("content"), [r.condition for r in rules])).select(F.inline(tried)).select("path", "open", "content", T.split_lines(F.col("content")).alias("lines"))
+    found = files.select("path", T.composed(F.col("content")).alias("composed"), F.concat(*[_hits(r, every, F.col("open")[k]) for k, r in enumerate(rules)]).alias("hits"))
+    # windows by line, not by match: a line with many matches has one, which is dropped when it is hashed
+    index = F.array_distinct(F.transform("hits", lambda h: h["index"]))
+    shas = T.once(T.once(F.split("composed", T.BREAK, -1), T.unended), lambda lines: F.transform(index, lambda i: F.sha2(T.window(lines, i), 256)))
+    hit = lambda by: F.transform("hits", lambda h: F.struct(by[h["index"]].alias("window_sha256"), h["rule_id"].alias("rule_id"), h["index"].alias("index"), h["start"].alias("start"), h["match_excerpt"].alias("match_excerpt")))
+    # an outer inline, as a filter on hits or an inner one would be pushed below them and work them out twice
+    rows = found.select("path", F.inline_outer(T.once(F.map_from_arrays(index, shas), hit))).filter("rule_id is not null")
     facts = F.create_map(*[x for r in rules for x in (F.lit(r.id), F.struct(F.lit(r.layer).alias("layer"), F.lit(r.precision).alias("precision"), F.lit(" ".join(r.question.split())).alias("question"), F.lit(r.version).alias("version")))])
     ranked = identify(rows.withColumn("line", F.col("index") + 1), ["line", "start"])
     fact = F.element_at(facts, F.col("rule_id"))
